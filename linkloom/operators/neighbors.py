@@ -58,7 +58,6 @@ def top_neighbor_candidates(
     combine: str = "sum",
     *,
     pair_limit: int = PAIR_LIMIT,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Top-K candidates by neighbour similarity: ``(entity_id, cand_id, score, rank)``.
 
@@ -75,5 +74,4 @@ def top_neighbor_candidates(
         k,
         combine=combine,
         pair_limit=pair_limit,
-        hot=hot,
     )

@@ -54,6 +54,23 @@ def relation_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def predicate_stats(resolved: DataFrame) -> DataFrame:
+    """`relation_stats` of `relation_index`, straight from the resolved triples.
+
+    The majority vote and the counts share one aggregation, so a workflow need
+    not build the index: its relations are those of this table.
+    """
+    return _importance(
+        resolved.groupBy("p")
+        .agg(
+            F.count("o_id").alias("n"),
+            F.count(F.lit(1)).alias("all_objects"),
+            F.count_distinct("o_id").alias("n_objects"),
+        )
+        .where(F.col("n") > F.col("all_objects") - F.col("n"))
+    )
+
+
 def relation_rank(stats: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """Relations above the support threshold, best first.
 

@@ -30,6 +30,8 @@ from linkloom.functions import scores
 from linkloom.runtime import materialize
 
 PAIR_LIMIT = 1_000_000
+PAIRS_PER_TASK = 1_000_000
+MAX_TASKS = 100_000
 
 
 def keep_top(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -53,6 +55,20 @@ def _is_light(pair_limit: int) -> Column:
     return scores.comparisons(F.col("n1"), F.col("n2")) <= F.lit(float(pair_limit))
 
 
+def _size_up(links: DataFrame, pair_limit: int) -> tuple[bool, int]:
+    """Whether there are heavy links, and how many tasks the light pairs deserve.
+
+    Spark sizes tasks by input bytes, but here the output is many times the
+    input; so the pairs are counted from the links first.
+    """
+    light = _is_light(pair_limit)
+    row = links.agg(
+        F.count_if(~light).alias("heavy"),
+        F.sum(F.when(light, scores.comparisons(F.col("n1"), F.col("n2")))).alias("pairs"),
+    ).first()
+    return row["heavy"] > 0, min(MAX_TASKS, 1 + int((row["pairs"] or 0) // PAIRS_PER_TASK))
+
+
 def _both_directions(pairs: DataFrame) -> DataFrame:
     forward = F.struct(F.col("d2_id").alias("entity_id"), F.col("d1_id").alias("cand_id"))
     backward = F.struct(F.col("d1_id").alias("entity_id"), F.col("d2_id").alias("cand_id"))
@@ -212,7 +228,6 @@ def shared_top_k(
     combine: str = "sum",
     norms: DataFrame | None = None,
     pair_limit: int = PAIR_LIMIT,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Top-K partners of every entity: ``(entity_id, cand_id, score, rank)``.
 
@@ -222,8 +237,9 @@ def shared_top_k(
     left_links -- ``left`` already joined with ``links``, when that is at hand:
         ``(entity_id, f2, weight, n1, n2)``
     norms -- optional ``(entity_id, norm)``; scores become weight / (norm + norm)
-    hot -- whether heavy links exist; looked up when not given.  With heavy
-        links, the tables that several steps read are written out once.
+
+    One row of counts is read first.  If there are heavy links, the tables that
+    several steps read are written out once.
     """
     light = _is_light(pair_limit)
     if left_links is None:
@@ -231,10 +247,15 @@ def shared_top_k(
     reach = left_links.where(light).select(
         F.col("f2").alias("feature"), F.col("entity_id").alias("d1_id"), "weight"
     )
-    if hot is None:
-        hot = not links.where(~light).isEmpty()
+    hot, tasks = _size_up(links, pair_limit)
+    carried = right.select("feature", F.col("entity_id").alias("d2_id"))
     pairs = (
-        reach.join(right.select("feature", F.col("entity_id").alias("d2_id")), "feature")
+        reach.repartition(tasks, "feature")
+        .join(carried.repartition(tasks, "feature"), "feature")
+        .select("d2_id", "d1_id", "weight")
+        # The links of one pair sit in many tasks, so combining before the
+        # shuffle would build large hash tables and merge next to nothing.
+        .repartition("d2_id", "d1_id")
         .groupBy("d2_id", "d1_id")
         .agg(_combine(combine, "weight").alias("weight"))
     )

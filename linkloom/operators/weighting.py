@@ -54,7 +54,6 @@ def top_candidates(
     *,
     entity_index: DataFrame | None = None,
     pair_limit: int = PAIR_LIMIT,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Top-K candidates of every entity of both collections.
 
@@ -77,9 +76,6 @@ def top_candidates(
         norms = entity_weights(sized, sized if entity_index is None else entity_index)
     feature = F.col("block_id").alias("feature")
     left_links = first.select("entity_id", F.col("block_id").alias("f2"), "weight", "n1", "n2")
-    light = scores.comparisons(F.col("n1"), F.col("n2")) <= F.lit(float(pair_limit))
-    if hot is None:
-        hot = not weighted.where(~light).isEmpty()
     return shared_top_k(
         first.select("entity_id", feature),
         second.select("entity_id", feature),
@@ -88,5 +84,4 @@ def top_candidates(
         left_links=left_links,
         norms=norms,
         pair_limit=pair_limit,
-        hot=hot,
     )

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from linkloom.functions import text
 from linkloom.operators import (
     blocking,
     evaluation,
@@ -19,6 +20,7 @@ from linkloom.operators import (
 )
 from linkloom.operators.shared_top_k import PAIR_LIMIT
 from linkloom.runtime import materialize
+from linkloom.sources import readers
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,8 @@ class ResolverConfig:
     label_attributes1: tuple[str, ...] = ()
     label_attributes2: tuple[str, ...] = ()
     drop_empty_labels: bool = False
+    separator: str = " "
+    uri_prefix: str = text.URI_PREFIX
 
 
 @dataclass
@@ -43,25 +47,23 @@ class Resolver:
     """Links two collections.
 
     members -- ``(block_id, entity_id)``
-    relations1, relations2 -- ``(s, p, o)`` triples of the relations view
-    statements1, statements2 -- ``(s, p, o)`` triples of the label view
+    statements1, statements2 -- ``(s, p, o)``, as `readers.parse_statements` gives them
     entities1, entities2 -- ``(uri, entity_id)`` with signed ids
 
     Each table that several steps read is written out once, on first use.
     """
 
     members: DataFrame
-    relations1: DataFrame | None = None
-    relations2: DataFrame | None = None
-    entities1: DataFrame | None = None
-    entities2: DataFrame | None = None
     statements1: DataFrame | None = None
     statements2: DataFrame | None = None
+    entities1: DataFrame | None = None
+    entities2: DataFrame | None = None
     config: ResolverConfig = field(default_factory=ResolverConfig)
 
     @cached_property
     def entity_index(self) -> DataFrame:
-        return materialize(blocking.block_filtering(self.members, self.config.keep_ratio), "entity-index")
+        members = materialize(self.members, "members")
+        return materialize(blocking.block_filtering(members, self.config.keep_ratio), "entity-index")
 
     @cached_property
     def sized_blocks(self) -> DataFrame:
@@ -94,23 +96,31 @@ class Resolver:
             self._kept_values[scheme] = materialize(self.value_candidates(scheme), f"values-{scheme}")
         return self._kept_values[scheme]
 
-    def _out_neighbors(self, triples: DataFrame, entities: DataFrame) -> DataFrame:
-        resolved = relations.resolve_triples(triples, entities)
-        index = materialize(relations.relation_index(resolved), "relation-index")
-        return relations.top_out_neighbors(
-            index,
-            relations.relation_stats(index),
-            self.config.n_relations,
-            self.config.min_support,
-            self.config.keep_low_support,
+    @cached_property
+    def entities(self) -> tuple[DataFrame, DataFrame]:
+        return materialize(self.entities1, "entities"), materialize(self.entities2, "entities")
+
+    @cached_property
+    def statements(self) -> tuple[DataFrame, DataFrame]:
+        return materialize(self.statements1, "statements"), materialize(self.statements2, "statements")
+
+    def _in_neighbors(self, collection: int) -> DataFrame:
+        cfg = self.config
+        statements, entities = self.statements[collection - 1], self.entities[collection - 1]
+        triples = readers.relation_view(statements, cfg.separator, cfg.uri_prefix)
+        resolved = materialize(relations.resolve_triples(triples, entities), "resolved")
+        out_neighbors = relations.top_out_neighbors(
+            resolved.where("o_id is not null"),
+            relations.predicate_stats(resolved),
+            cfg.n_relations,
+            cfg.min_support,
+            cfg.keep_low_support,
         )
+        return relations.in_neighbors(out_neighbors)
 
     @cached_property
     def in_neighbors(self) -> DataFrame:
-        both = relations.merge_in_neighbors(
-            relations.in_neighbors(self._out_neighbors(self.relations1, self.entities1)),
-            relations.in_neighbors(self._out_neighbors(self.relations2, self.entities2)),
-        )
+        both = relations.merge_in_neighbors(self._in_neighbors(1), self._in_neighbors(2))
         return materialize(both, "in-neighbors")
 
     def neighbor_candidates(self, scheme: str = "arcs", combine: str = "sum") -> DataFrame:
@@ -125,9 +135,10 @@ class Resolver:
 
     def label_matches(self) -> DataFrame:
         cfg = self.config
+        (statements1, statements2), (entities1, entities2) = self.statements, self.entities
         return labels.label_matches(
-            labels.label_blocks(self.statements1, self.entities1, cfg.label_attributes1, cfg.drop_empty_labels),
-            labels.label_blocks(self.statements2, self.entities2, cfg.label_attributes2, cfg.drop_empty_labels),
+            labels.label_blocks(statements1, entities1, cfg.label_attributes1, cfg.drop_empty_labels),
+            labels.label_blocks(statements2, entities2, cfg.label_attributes2, cfg.drop_empty_labels),
         )
 
     def match_without_labels(self) -> DataFrame:

@@ -63,20 +63,6 @@ def _statement(separator: str) -> Column:
     return F.rtrim(line, F.lit(separator))
 
 
-def parse_relations(lines: DataFrame, separator: str = " ", uri_prefix: str = text.URI_PREFIX) -> DataFrame:
-    """``(s, p, o)`` of the lines with exactly three tokens."""
-    parts = F.split(_statement(separator), re.escape(separator))
-    return (
-        lines.select(parts.alias("t"))
-        .where(F.size("t") == 3)
-        .select(
-            text.uri_encode(F.col("t")[0], uri_prefix).alias("s"),
-            F.col("t")[1].alias("p"),
-            text.uri_encode(F.col("t")[2], uri_prefix).alias("o"),
-        )
-    )
-
-
 def parse_statements(lines: DataFrame, separator: str = " ", uri_prefix: str = text.URI_PREFIX) -> DataFrame:
     """``(s, p, o)`` of the lines with three tokens or more; ``o`` is the rest of the line."""
     parts = F.split(_statement(separator), re.escape(separator), 3)
@@ -91,6 +77,18 @@ def parse_statements(lines: DataFrame, separator: str = " ", uri_prefix: str = t
     )
 
 
+def relation_view(statements: DataFrame, separator: str = " ", uri_prefix: str = text.URI_PREFIX) -> DataFrame:
+    """The statements whose object is a single token, that is lines of exactly three tokens."""
+    return statements.where(~F.contains("o", F.lit(separator))).select(
+        "s", "p", text.uri_encode(F.col("o"), uri_prefix).alias("o")
+    )
+
+
+def parse_relations(lines: DataFrame, separator: str = " ", uri_prefix: str = text.URI_PREFIX) -> DataFrame:
+    """``(s, p, o)`` of the lines with exactly three tokens."""
+    return relation_view(parse_statements(lines, separator, uri_prefix), separator, uri_prefix)
+
+
 def parse_ground_truth(
     lines: DataFrame,
     entities1: DataFrame,

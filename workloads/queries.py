@@ -18,7 +18,7 @@ from linkloom.operators import (
     relations,
     weighting,
 )
-from linkloom.runtime import checkpoint_root, materialize
+from linkloom.runtime import fresh_path, materialize
 from linkloom.sources import readers, writers
 from workloads import views
 
@@ -50,7 +50,8 @@ def entity_ids(spark, sf):
 
 @query
 def parse_triples(spark, sf):
-    lines = views.triple_lines(spark, sf, 1).unionByName(views.triple_lines(spark, sf, 2))
+    both = views.triple_lines(spark, sf, 1).unionByName(views.triple_lines(spark, sf, 2))
+    lines = views.written(both, "triple-lines")
     relation_view = readers.parse_relations(lines).withColumn("view", F.lit("relations"))
     label_view = readers.parse_statements(lines).withColumn("view", F.lit("labels"))
     return relation_view.unionByName(label_view)
@@ -97,14 +98,14 @@ def normalize_label(spark, sf):
 
 @query
 def match_roundtrip(spark, sf):
-    path = f"{checkpoint_root(spark)}/matches-{spark.sparkContext.applicationId}"
+    path = fresh_path(spark, "matches")
     writers.write_matches(views.document_truth(spark, sf), path)
     return readers.parse_matches(readers.read_lines(spark, path))
 
 
 @query
 def candidate_roundtrip(spark, sf):
-    path = f"{checkpoint_root(spark)}/candidates-{spark.sparkContext.applicationId}"
+    path = fresh_path(spark, "candidates")
     writers.write_candidates(views.star_resolver(spark, sf).value_candidates(), path)
     return writers.read_candidates(spark, path)
 
@@ -125,12 +126,12 @@ def token_blocking(spark, sf):
 
 @query
 def block_utility(spark, sf):
-    return blocking.block_utility(views.document_members(spark, sf))
+    return blocking.block_utility(materialize(views.document_members(spark, sf), "members"))
 
 
 @query
 def block_filtering(spark, sf):
-    return blocking.block_filtering(views.document_members(spark, sf))
+    return views.document_resolver(spark, sf).entity_index
 
 
 @query
@@ -215,10 +216,16 @@ def cnp_wjs_heavy(spark, sf):
 # ---- relations and neighbours -------------------------------------------
 
 
+def _resolved(spark, sf, collection, view="relations"):
+    triples = views.star_statements(spark, sf, collection)
+    if view == "relations":
+        triples = readers.relation_view(triples)
+    entities = materialize(views.star_entities(spark, sf, collection), "entities")
+    return materialize(relations.resolve_triples(triples, entities), "resolved")
+
+
 def _relation_index(spark, sf, collection):
-    r = views.star_resolver(spark, sf)
-    triples, entities = (r.relations1, r.entities1) if collection == 1 else (r.relations2, r.entities2)
-    return relations.relation_index(relations.resolve_triples(triples, entities))
+    return relations.relation_index(_resolved(spark, sf, collection))
 
 
 @query
@@ -243,8 +250,10 @@ def relation_rank(spark, sf):
 
 @query
 def top_out_neighbors(spark, sf):
-    index = materialize(_relation_index(spark, sf, 1), "relation-index")
-    return relations.top_out_neighbors(index, relations.relation_stats(index), 2)
+    resolved = _resolved(spark, sf, 1)
+    return relations.top_out_neighbors(
+        resolved.where("o_id is not null"), relations.predicate_stats(resolved), 2
+    )
 
 
 @query
@@ -254,8 +263,7 @@ def in_neighbors(spark, sf):
 
 @query
 def label_attributes(spark, sf):
-    r = views.star_resolver(spark, sf)
-    return relations.label_attributes(relations.resolve_triples(r.statements1, r.entities1))
+    return relations.label_attributes(_resolved(spark, sf, 1, view="labels"))
 
 
 @query
@@ -302,10 +310,13 @@ def _scored(df):
 
 @query
 def label_blocks(spark, sf):
-    r = views.star_resolver(spark, sf)
-    return labels.label_blocks(r.statements1, r.entities1, views.NAME_ATTRIBUTES[1]).unionByName(
-        labels.label_blocks(r.statements2, r.entities2, views.NAME_ATTRIBUTES[2])
-    )
+    parts = [
+        labels.label_blocks(
+            views.star_statements(spark, sf, c), views.star_entities(spark, sf, c), views.NAME_ATTRIBUTES[c]
+        )
+        for c in (1, 2)
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query

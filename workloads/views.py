@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def written(lines: DataFrame, name: str) -> DataFrame:
+    """Lines as files, the form in which triples and ids arrive."""
+    return materialize(lines, name)
+
+
 # ---- documents ----------------------------------------------------------
 
 
@@ -47,7 +52,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_members(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(blocking.token_members(documents(spark, sf)), "document-members")
+    return blocking.token_members(documents(spark, sf))
 
 
 def document_resolver(spark: SparkSession, sf: str, **config) -> Resolver:
@@ -179,12 +184,16 @@ def star_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def star_entities(spark: SparkSession, sf: str, collection: int) -> DataFrame:
-    return readers.parse_entity_ids(id_lines(spark, sf, collection), collection)
+    return readers.parse_entity_ids(written(id_lines(spark, sf, collection), "id-lines"), collection)
+
+
+def star_statements(spark: SparkSession, sf: str, collection: int) -> DataFrame:
+    return readers.parse_statements(written(triple_lines(spark, sf, collection), "triple-lines"))
 
 
 def star_truth(spark: SparkSession, sf: str) -> DataFrame:
     return readers.parse_ground_truth(
-        truth_lines(spark, sf), star_entities(spark, sf, 1), star_entities(spark, sf, 2)
+        written(truth_lines(spark, sf), "truth-lines"), star_entities(spark, sf, 1), star_entities(spark, sf, 2)
     )
 
 
@@ -192,12 +201,10 @@ def star_resolver(spark: SparkSession, sf: str, **config) -> Resolver:
     settings = {"label_attributes1": NAME_ATTRIBUTES[1], "label_attributes2": NAME_ATTRIBUTES[2], **config}
     return Resolver(
         star_members(spark, sf),
-        relations1=readers.parse_relations(triple_lines(spark, sf, 1)),
-        relations2=readers.parse_relations(triple_lines(spark, sf, 2)),
-        entities1=star_entities(spark, sf, 1),
-        entities2=star_entities(spark, sf, 2),
-        statements1=readers.parse_statements(triple_lines(spark, sf, 1)),
-        statements2=readers.parse_statements(triple_lines(spark, sf, 2)),
+        star_statements(spark, sf, 1),
+        star_statements(spark, sf, 2),
+        star_entities(spark, sf, 1),
+        star_entities(spark, sf, 2),
         config=ResolverConfig(**settings),
     )
 
