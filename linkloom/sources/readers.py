@@ -67,7 +67,8 @@ def parse_statements(lines: DataFrame, separator: str = " ", uri_prefix: str = t
     """``(s, p, o)`` of the lines with three tokens or more; ``o`` is the rest of the line."""
     parts = F.split(_statement(separator), re.escape(separator), 3)
     return (
-        lines.select(parts.alias("t"))
+        # The generator keeps the optimizer from splitting every line once per use.
+        lines.select(F.explode(F.array(parts)).alias("t"))
         .where(F.size("t") == 3)
         .select(
             text.uri_encode(F.col("t")[0], uri_prefix).alias("s"),
