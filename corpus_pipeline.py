@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, quality_rules
+from linkloom.llm import exact_dedup, mixing, quality_rules
 from linkloom.llm.shared import documents
 from linkloom.runtime import fresh_path
 
@@ -17,7 +17,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.in_mixed_order(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("mixing", mix)]
 
 #: Minhash signatures and tokenizers cannot be written in SQL.
 ORACLE_SQL = None

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import SPACE
+from linkloom.llm.shared import SPACE, keep_decided, mark
 from linkloom.runtime import materialize
 
 
@@ -45,22 +45,20 @@ def exact_groups(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    row: str | None = None,
     hash_of: Callable[[Column], Column] = content_hash,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, mark.
 
     Of equal texts the row with the most code points stays, then the one with
-    the smallest id.  ``row`` is a column that is different in every row; without
-    one the rows are numbered as they are read.
+    the smallest id.  ``mark`` tells apart texts that differ in white space only.
     """
-    number = F.monotonically_increasing_id() if row is None else F.col(row)
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), number.alias("row"))
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     plain = given.withColumn("plain", normalized(F.col("text")))
     rows = materialize(
         plain.select(
-            "row",
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
+            mark("text").alias("mark"),
             hash_of(F.col("plain")).alias("hash"),
             F.sha2(F.col("plain").cast("binary"), 256).alias("text_sha256"),
             F.coalesce(F.length("text"), F.lit(0)).alias("points"),
@@ -117,23 +115,24 @@ def _decided(rows: DataFrame) -> DataFrame:
             F.col("row"),
         )
     )
-    groups = rows.groupBy("hash", "variant").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["hash", "variant"]).select(
+    # written, so that the join below reads two plain shuffles and a hot group can be split
+    groups = materialize(
+        rows.groupBy("hash", "variant")
+        .agg(best.alias("best"), F.count("*").alias("group_size"))
+        .filter("group_size > 1"),
+        "exact-groups",
+    )
+    alone = F.col("group_size").isNull()
+    return rows.join(groups, ["hash", "variant"], "left").select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
         "text_sha256",
-        "row",
+        "mark",
     )
 
 
 def drop_exact_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    placed = materialize(docs.withColumn("_exact_row", F.monotonically_increasing_id()), "exact-docs")
-    gone = (
-        exact_groups(placed, doc_id=doc_id, text=text, row="_exact_row")
-        .filter("NOT kept")
-        .select(F.col("row").alias("_exact_row"))
-    )
-    return placed.join(gone, "_exact_row", "left_anti").drop("_exact_row")
+    return keep_decided(docs, exact_groups(docs, doc_id=doc_id, text=text), doc_id=doc_id, text=text)

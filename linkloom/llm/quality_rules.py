@@ -21,12 +21,13 @@ table there is no host; other columns are carried along by
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.runtime import materialize
 
@@ -91,6 +92,22 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _failing(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the verdict of the base rules to whole rows."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            failed = []
+            for text in batch.column(text_at):
+                words = (text.as_py() or "").encode().split()
+                failed.append(len(words) < MIN_WORDS or 100 * repeated_words(words) > 30 * len(words))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(failed, pa.bool_())], names=[*batch.schema.names, "_failed"]
+            )
+
+    return judged
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -166,23 +183,10 @@ def document_rules(
     host_limit: float = HOST_LIMIT,
 ) -> DataFrame:
     """One row per document: doc_id, host, measures, base_failed, host_rejected, kept."""
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    kinds = dict(given.dtypes)
-    measured = materialize(
-        given.mapInArrow(_measured, f"doc_id {kinds['doc_id']}, host {kinds['host']}, {MEASURES}"),
-        "quality-measures",
-    )
-    return _judged(measured, host_limit)
-
-
-def _judged(measured: DataFrame, host_limit: float) -> DataFrame:
-    bad = (
-        host_rates(measured)
-        .filter(F.col("rate") > host_limit)
-        .select(F.col("host").alias("_host"))
-        .distinct()
-        .withColumn("_bad", F.lit(True))
+    measured = _measures(
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     )
+    bad = _bad_hosts(measured, host_limit).withColumn("_bad", F.lit(True))
     return (
         measured.join(bad, F.col("host").eqNullSafe(F.col("_host")), "left")
         .withColumn("base_failed", base_failed())
@@ -192,14 +196,30 @@ def _judged(measured: DataFrame, host_limit: float) -> DataFrame:
     )
 
 
+def _measures(given: DataFrame) -> DataFrame:
+    kinds = dict(given.dtypes)
+    return materialize(
+        given.mapInArrow(_measured, f"doc_id {kinds['doc_id']}, host {kinds['host']}, {MEASURES}"),
+        "quality-measures",
+    )
+
+
+def _bad_hosts(measured: DataFrame, host_limit: float) -> DataFrame:
+    return (
+        host_rates(measured).filter(F.col("rate") > host_limit).select(F.col("host").alias("_host")).distinct()
+    )
+
+
 def keep_good_documents(
     docs: DataFrame, *, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT
 ) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    placed = materialize(docs.withColumn("_rule_row", F.monotonically_increasing_id()), "quality-docs")
-    kept = (
-        document_rules(placed, doc_id="_rule_row", text=text, host=host, host_limit=host_limit)
-        .filter("kept")
-        .select(F.col("doc_id").alias("_rule_row"))
-    )
-    return placed.join(kept, "_rule_row", "left_semi").drop("_rule_row")
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Texts are measured twice, once for the hosts and once for their own verdict,
+    so that they neither move nor are copied.
+    """
+    measured = _measures(docs.select(F.lit(0).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text")))
+    bad = materialize(_bad_hosts(measured, host_limit), "bad-hosts")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_failed", T.BooleanType())])
+    judged = docs.mapInArrow(_failing(docs.columns.index(text)), schema).filter("NOT _failed").drop("_failed")
+    return judged.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left_anti")

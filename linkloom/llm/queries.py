@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import exact_dedup, quality_rules, sharding
+from linkloom.llm import exact_dedup, mixing, packing, quality_rules, secret_scan, sharding
 from linkloom.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("row")
+    return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("mark")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +48,31 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strong = F.filter("found", lambda s: s["kind"].isin(list(secret_scan.STRONG)))
+    return secret_scan.scan_documents(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secret_scan.span_text(strong).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("found")).alias("spans"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = mixing.mix_units(documents(spark, sf_dir))
+    rows = units.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.drop("mark", "copies", "copy")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -88,3 +88,33 @@ def running_totals(placed: DataFrame, group: str, value: str, name: str = "befor
     return joined.withColumn(name, F.col("_inside") + F.col("_carried")).drop(
         "_inside", "_carried", "_part", "_at", "_q", "_g"
     )
+
+
+def mark(text: str | Column) -> Column:
+    """A 128-bit mark of the unchanged text, for telling rows of one id apart."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.md5(F.coalesce(column, F.lit("")).cast("binary"))
+
+
+def keep_decided(docs: DataFrame, decisions: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, mark, kept; one row each) keep.
+
+    Rows are matched by id and mark of the text, so ids may be null or repeated;
+    of rows that agree in both, as many stay as decisions say, up to one.
+    The texts move once; the decisions are small rows.
+    """
+    by_row = materialize(
+        decisions.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+        .agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
+        .filter("NOT _stays OR _n > 1"),
+        "decisions",
+    )
+    marked = docs.withColumn("_text_mark", mark(text))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark"))
+    left = marked.join(by_row.filter("NOT _stays"), same, "left_anti")
+    again = by_row.filter("_stays")
+    if not again.isEmpty():
+        first = Window.partitionBy(doc_id, "_text_mark").orderBy(F.lit(0))
+        one = left.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(first))
+        left = left.join(again, same, "left_anti").unionByName(one.filter("_nth = 1").drop("_nth"))
+    return left.drop("_text_mark")
