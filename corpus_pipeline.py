@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import exact_dedup, mixing, quality_rules
+from linkloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from linkloom.llm.shared import documents
 from linkloom.runtime import fresh_path
 
@@ -17,11 +17,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_copies(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Minhash signatures and tokenizers cannot be written in SQL.
 ORACLE_SQL = None
