@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, secret_scan, sharding
-from linkloom.llm.shared import documents
+from linkloom.llm import (
+    context_tree,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    sharding,
+)
+from linkloom.llm.shared import crc_modulo, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +36,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("mark")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), crc_modulo(F.col("doc_id"), 4) == 2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.document_rules(documents(spark, sf_dir)).select(
         "doc_id",
@@ -39,6 +54,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(documents(spark, sf_dir), crc_modulo(F.col("doc_id"), 5) == 1)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir)).select(
         "doc_id",
@@ -64,6 +83,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.document_lines(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mixing.mix_units(documents(spark, sf_dir))
     rows = units.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
@@ -74,9 +97,12 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_context_tree": op6_context_tree,
     "op7_sharding": op7_sharding,
     "op8_secret_scan": op8_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
