@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 URI_PREFIX = "<http://dbpedia.org/resource/"
 LABEL_DROP_PATTERN = "[^a-z0-9 ]"
 TERMINATOR_PATTERN = r" \.$"
-TOKEN_SPLIT_PATTERN = "[^a-z0-9]+"
+TOKEN_SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
 
 
 def strip_terminator(line: Column) -> Column:
@@ -23,7 +23,7 @@ def normalize_label(value: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct non-empty ASCII word tokens of a text."""
+    """Distinct non-empty word tokens, of letters and digits of any script, of a text."""
     words = F.split(F.lower(text), TOKEN_SPLIT_PATTERN)
     return F.array_distinct(F.filter(words, lambda w: w != ""))
 

@@ -28,19 +28,14 @@ def token_blocking(
     entities: DataFrame,
     entity_id: str = "entity_id",
     text_column: str = "text",
-    max_comparisons: int | None = None,
 ) -> DataFrame:
     """One block per word that occurs in both collections.
 
-    ``max_comparisons`` is an opt-in purge of very frequent words; the default
-    keeps every two-sided block.  A workflow that filters the blocks anyway can
+    Every two-sided block is kept.  A workflow that filters the blocks anyway can
     start from `token_members`: filtering drops one-sided blocks itself.
     """
     members = token_members(entities, entity_id, text_column)
-    sizes = block_sizes(members)
-    if max_comparisons is not None:
-        sizes = sizes.where(scores.comparisons(F.col("n1"), F.col("n2")) <= max_comparisons)
-    return members.join(sizes.select("block_id"), "block_id", "left_semi")
+    return members.join(block_sizes(members).select("block_id"), "block_id", "left_semi")
 
 
 def block_sizes(members: DataFrame) -> DataFrame:

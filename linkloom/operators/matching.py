@@ -64,7 +64,7 @@ def candidate_edges(ranked: DataFrame) -> DataFrame:
 def joined_edges(edges: DataFrame) -> DataFrame:
     """One row per pair: ``(d2_id, d1_id, weight, reciprocal)``."""
     return edges.groupBy("d2_id", "d1_id").agg(
-        F.sum("weight").alias("weight"), (F.count_distinct("side") == 2).alias("reciprocal")
+        F.sum("weight").alias("weight"), (F.min("side") != F.max("side")).alias("reciprocal")
     )
 
 

@@ -50,11 +50,15 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
 
 
 def parse_entity_ids(lines: DataFrame, collection: int = 1) -> DataFrame:
-    """``(uri, entity_id)`` from ``uri TAB id``; ids of collection 2 become negative."""
+    """``(uri, entity_id)`` from ``uri TAB id``; ids of collection 2 become negative.
+
+    URIs are read in lower case and have one id each: of several, the largest.
+    """
     fields = F.split(F.lower(F.col(VALUE)), "\t")
-    number = fields[1].cast("bigint")
+    numbered = lines.select(fields[0].alias("uri"), fields[1].cast("bigint").alias("number"))
+    number = F.col("number")
     entity_id = number if collection == 1 else ids.encode_second(number)
-    return lines.select(fields[0].alias("uri"), entity_id.alias("entity_id"))
+    return numbered.groupBy("uri").agg(F.max("number").alias("number")).select("uri", entity_id.alias("entity_id"))
 
 
 def _statement(separator: str) -> Column:

@@ -96,7 +96,7 @@ def test_blocks_per_entity(block_lines):
     assert counts == {1: 1, 2: 1, -2: 1, -3: 1, -4: 1, 3: 2, 4: 2, -1: 2, 5: 2, -5: 2}
 
 
-def test_token_blocking_and_purge(spark):
+def test_token_blocking(spark):
     docs = spark.createDataFrame(
         [(0, "red apple pie"), (1, "red pear"), (-1, "Red apple"), (-2, "red plum"), (-3, "red")],
         "entity_id bigint, text string",
@@ -105,4 +105,8 @@ def test_token_blocking_and_purge(spark):
     assert rows(blocks) == [
         ("apple", -1), ("apple", 0), ("red", -3), ("red", -2), ("red", -1), ("red", 0), ("red", 1),
     ]
-    assert rows(blocking.token_blocking(docs, max_comparisons=5)) == [("apple", -1), ("apple", 0)]
+
+
+def test_words_of_any_script(spark):
+    docs = spark.createDataFrame([(0, "Été über_x"), (-1, "été, ÜBER Привет"), (1, "привет 4")], "entity_id bigint, text string")
+    assert {b for b, _ in rows(blocking.token_blocking(docs))} == {"été", "über", "привет"}

@@ -98,3 +98,10 @@ def test_assign_entity_ids_from_files(spark, tmp_path):
     for r in positioned.orderBy("position").collect():
         first.setdefault(r.value.split(" ")[0], len(first))
     assert {r.uri: r.entity_id for r in got.collect()} == first
+
+
+def test_one_id_per_uri(spark):
+    lines = spark.createDataFrame([("<A/Apple>\t1",), ("<a/apple>\t2",), ("<a/b>\t0",)], "value string")
+    first = {tuple(r) for r in readers.parse_entity_ids(lines).collect()}
+    assert first == {("<a/apple>", 2), ("<a/b>", 0)}
+    assert {tuple(r) for r in readers.parse_entity_ids(lines, collection=2).collect()} == {("<a/apple>", -3), ("<a/b>", -1)}
