@@ -10,6 +10,8 @@ different sets are joined with themselves:
   their first n - ceil(t n) + 1;
 * length filter: t n <= m <= n / t; positional filter: the words after the
   shared one must suffice for the overlap;
+* bitmap filter: sets that differ in d words differ in at most d of 64 parity
+  bits, so pairs whose bits differ more than the overlap allows cannot match;
 * the pairs left are verified on all their words.
 
 A line is removed when a line that matches it stands earlier (smaller doc_id,
@@ -35,71 +37,99 @@ from linkloom.llm.shared import SPACE
 from linkloom.runtime import materialize
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 14
+#: Bits of the number of a word's bucket.
+BITS = 16
+BUCKETS = 1 << BITS
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def words_of(line: Column) -> Column:
-    """Hashes of the different words of a line, ascending."""
-    words = F.filter(F.split(line, f"{SPACE}+", -1), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, f"{SPACE}+", -1), "")
 
 
-def _key(words: Column) -> Column:
-    return F.unhex(F.md5(F.to_json(words).cast("binary")))
+def _bucket(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
-def _rarity(sets: DataFrame) -> Column:
-    """The counts of the word buckets as one constant array."""
+def word_order(texts: DataFrame, text: str = "text") -> Column:
+    """The place of each word bucket by rarity, as one constant array of BUCKETS numbers."""
     counts = (
-        sets.select(F.explode("words").alias("w"))
-        .groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket"))
+        texts.select(F.explode(_words(F.col(text))).alias("word"))
+        .groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
         .count()
         .collect()  # at most BUCKETS rows
     )
-    table = [0] * BUCKETS
-    for r in counts:
-        table[r["bucket"]] = r["count"]
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
+    found = {r["bucket"]: r["count"] for r in counts}
+    place = [0] * BUCKETS
+    for at, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (found.get(b, 0), b))):
+        place[bucket] = at - BUCKETS // 2
+    return F.split(F.lit(",".join(map(str, place))), ",").cast("array<long>")
+
+
+def _has_words(line: Column) -> Column:
+    return F.regexp_like(line, F.lit(SPACE.replace("[", "[^", 1)))
+
+
+def hashes_of(line: Column) -> Column:
+    """64-bit hashes of the different words of a line, ascending."""
+    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
+
+
+def by_rarity(hashes: Column, order: Column) -> Column:
+    """The hashes with the bucket number changed for the bucket's place, the rarest first."""
+    return F.sort_array(
+        F.transform(
+            hashes,
+            lambda w: F.shiftleft(order[_bucket(w).cast("int")], 64 - BITS).bitwiseOR(F.shiftrightunsigned(w, BITS)),
+        )
+    )
+
+
+def _parity(words: str) -> Column:
+    """64 bits, each the parity of the number of words that fall on it."""
+    return F.expr(f"aggregate({words}, 0L, (bits, w) -> bits ^ shiftleft(1L, cast(w & 63 as int)))")
+
+
+def _key(words: Column) -> Column:
+    """128 bits that tell sets of words apart: two hashes of the ascending hashes."""
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(i), words)), 16, "0")) for i in range(2)))
 
 
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of keys of ``sets`` (key, words: different hashes) with at least that Jaccard similarity."""
+    """Pairs (a, b) of ids of ``sets`` (id, words as of ``by_rarity``) with at least that Jaccard similarity."""
     part = similarity / (1 + similarity)
-    rarity = _rarity(sets)
-    ranked = F.transform(
-        F.array_sort(
-            F.transform(
-                "words", lambda w: F.struct(rarity[F.pmod(w, F.lit(BUCKETS)).cast("int")].alias("n"), w.alias("w"))
-            )
-        ),
-        lambda x: x["w"],
-    )
     size = F.size("words")
     prefix = size - F.ceil(similarity * size - 1e-9).cast("int") + 1
-    heads = sets.select("key", size.alias("n"), F.posexplode(F.slice(ranked, F.lit(1), prefix)).alias("at", "word"))
-    heads = materialize(heads, "line-prefixes")
-    one = heads.select("word", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "at")))
-    two = heads.select("word", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at")))
+    heads = sets.select(
+        "id", size.alias("n"), _parity("words").alias("bits"), F.posexplode(F.slice("words", F.lit(1), prefix)).alias("at", "word")
+    )
+    one = heads.select("word", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits")))
+    two = heads.select("word", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits")))
     needed = F.ceil(part * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    longer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    longer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
     candidates = (
         one.join(two, "word")
         .filter(
             longer
             & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
             & (F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
+            & (differ <= F.col("n_a") + F.col("n_b") - 2 * needed)
         )
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
     )
+    candidates = materialize(candidates, "line-candidates")
+    # most sets have no candidate: only the others move to be verified
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    met = materialize(sets.join(wanted, "id", "left_semi").select("id", "words"), "met-sets")
     common = F.size(F.array_intersect("words_a", "words_b"))
     return (
-        candidates.join(sets.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a")
-        .join(sets.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
+        candidates.join(met.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
+        .join(met.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
         .withColumn("common", common)
         .filter(
             F.col("common") >= similarity * (F.size("words_a") + F.size("words_b") - F.col("common")) - 1e-9
@@ -122,25 +152,33 @@ def line_matches(
     given = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")
     )
+    order = word_order(given)
     split = given.select(
         "row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "content")
-    ).withColumn("words", words_of(F.col("content")))
+    ).withColumn("hashes", hashes_of(F.col("content")))
     lines = materialize(
-        split.select("row", "doc_id", "line", F.when(F.size("words") > 0, _key(F.col("words"))).alias("key")), "lines"
+        split.select("row", "doc_id", "line", F.when(_has_words(F.col("content")), _key(F.col("hashes"))).alias("key")), "lines"
     )
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
     first = lines.filter("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("first"))
     first = materialize(first, "first-lines")
     sets = materialize(
-        split.select("words").filter(F.size("words") > 0).withColumn("key", _key(F.col("words"))).dropDuplicates(["key"]),
+        split.filter(_has_words(F.col("content")))
+        .select("hashes", _key(F.col("hashes")).alias("key"))
+        .dropDuplicates(["key"])
+        .select(F.monotonically_increasing_id().alias("id"), "key", by_rarity(F.col("hashes"), order).alias("words")),
         "line-sets",
     )
-    pairs = materialize(similar_sets(sets, similarity), "line-links")
+    pairs = materialize(similar_sets(sets.select("id", "words"), similarity), "line-links")
     both = pairs.union(pairs.select("b", "a"))
+    keys = sets.select("id", "key").join(both.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    of_set = materialize(keys.join(first, "key").select("id", "key", "first"), "linked-lines")
     linked = (
-        both.join(first.withColumnRenamed("key", "b"), "b")
-        .groupBy(F.col("a").alias("key"))
+        both.join(of_set.select(F.col("id").alias("b"), "first"), "b")
+        .groupBy(F.col("a").alias("id"))
         .agg(F.min("first").alias("other"), F.count("*").alias("n_links"))
+        .join(of_set.select("id", "key"), "id")
+        .drop("id")
     )
     earliest = materialize(first.join(linked, "key", "left"), "earliest-lines")
     joined = lines.join(earliest, "key", "left")
