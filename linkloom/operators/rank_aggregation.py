@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The names of the sources of a match.
 VALUES = "VALUES"
 NEIGHBORS = "NEIGHBORS"
 BOTH = "BOTH"

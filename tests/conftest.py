@@ -25,6 +25,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def block_lines(spark):
+    # fixed values: the golden block fixture
     return spark.createDataFrame(
         [
             ("0\t1#2#3#4#5#;-1#-2#-3#-4#-5#",),

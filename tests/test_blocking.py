@@ -4,6 +4,8 @@ from linkloom.operators import blocking
 from linkloom.sources import readers
 from tests.conftest import rows
 
+# fixed values: what is expected of ``block_lines`` below is golden
+
 
 def listed(df, key, value):
     out = {}

@@ -10,6 +10,7 @@ def values(spark, items, column):
 
 
 def test_uri_encode(spark):
+    # fixed values: golden encodings
     given = [
         "<http://dbpedia.org/resource/Hello(film)>",
         "<http://non-dbpedia.com>",
