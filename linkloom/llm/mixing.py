@@ -5,12 +5,14 @@ start its block k (from 0) at slot floor(k/w) and must have placed it by slot
 ceil((k+1)/w); taking the released block with the earliest deadline keeps every
 source within less than one block of its target share at every slot.
 
-Weights are rounded to parts of a round of ``resolution`` slots, so the
-schedule repeats after each round: one round is laid out on the driver (its
-size depends on the sources, not on the data), and the slot of any block is
-then arithmetic on its number.  When a source is used up, a new phase begins,
-in which the others share the slots by their renormalised weights.  No row is
-left out or repeated.
+Releases and deadlines are computed from the exact ratios of the given weights,
+in whole numbers, so no rounding adds up however long the mix is.  Earliest
+deadline first goes slot by slot: the driver lays out the schedule and writes it piece by
+piece as rows (source, block, slot), one per ``block_bytes`` of text; it holds
+one entry per source and HELD_SLOTS rows, and its time grows with the number of
+blocks and the square of the number of sources.  When a source is used up, a new phase begins,
+in which the others share the slots by their renormalised weights; the bound
+holds in each phase, counted from its start.  No row is left out or repeated.
 
 Inside a source documents come in a seeded hash order.  Their byte offsets are
 running totals over a range partitioning by (source, hash), so a hot source is
@@ -27,33 +29,26 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from linkloom.llm.shared import mark, ordered, running_totals, shuffle_partitions
+from linkloom.runtime import fresh_path
 
 BLOCK_BYTES = 65_536
+#: Slots of the schedule that are handed on at a time.
 RESOLUTION = 1_024
+#: Rows of the schedule that the driver holds before it writes them.
+HELD_SLOTS = 500_000
 #: Exponent of the default targets: sizes to this power, which raises small sources.
 ALPHA = 0.5
 
-PHASE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("first", T.LongType()),
-            T.StructField("last", T.LongType()),
-            T.StructField("parts", T.LongType()),
-            T.StructField("round", T.LongType()),
-            T.StructField("offset", T.LongType()),
-            T.StructField("places", T.ArrayType(T.LongType())),
-        ]
-    )
-)
-
-
 def integer_parts(weights: Mapping[object, float], total: int) -> dict[object, int]:
     """Whole parts of ``total`` by largest remainder, at least one each."""
     all_weights = math.fsum(weights.values())
@@ -85,33 +80,73 @@ def one_round(parts: Mapping[object, int]) -> dict[object, list[int]]:
     return places
 
 
-def phases(
-    blocks: Mapping[object, int], weights: Mapping[object, float], resolution: int = RESOLUTION
-) -> dict[object, list[tuple[int, int, int, int, int, list[int]]]]:
-    """For each source its (first block, last block, parts, round, offset, places) by phase."""
+def exact_shares(weights: Mapping[object, float | Fraction]) -> dict[object, int]:
+    """Whole numbers in exactly the ratios of the weights."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {k: w.numerator * (common // w.denominator) for k, w in exact.items()}
+    divisor = math.gcd(*whole.values())
+    return {k: n // divisor for k, n in whole.items()}
+
+
+def earliest_deadlines(left: Mapping[object, int], shares: Mapping[object, int]) -> Iterator[object]:
+    """The source of each slot, until the first of them has placed all its blocks."""
+    names = sorted(left, key=str)
+    parts = [shares[k] for k in names]
+    total = sum(parts)
+    released: list[tuple[int, int, int]] = []
+    waiting = [(0, i, 0) for i in range(len(names))]
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(released, (-((k + 1) * total // -parts[i]), i, k))
+        _, i, k = heapq.heappop(released)
+        yield names[i]
+        slot += 1
+        if k + 1 == left[names[i]]:
+            return
+        heapq.heappush(waiting, ((k + 1) * total // parts[i], i, k + 1))
+
+
+def stretches(
+    blocks: Mapping[object, int], weights: Mapping[object, float | Fraction], resolution: int = RESOLUTION
+) -> Iterator[tuple[int, int, dict[object, tuple[int, list[int]]]]]:
+    """The schedule by runs of at most ``resolution`` slots.
+
+    Each is (first slot, slots, {source: (first block, places after the first slot)}).
+    """
     left = {k: n for k, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
-    out: dict[object, list[tuple[int, int, int, int, int, list[int]]]] = {k: [] for k in left}
+    shares = exact_shares({k: weights[k] for k in left})
     offset = 0
     while left:
-        total = max(resolution, 2 * len(left))
-        parts = integer_parts({k: weights[k] for k in left}, total)
-        places = one_round(parts)
-
-        def ends(k: object) -> int:
-            rounds, rest = divmod(left[k] - 1, parts[k])
-            return rounds * total + places[k][rest] + 1
-
-        slots = min(map(ends, left))
-        rounds, rest = divmod(slots, total)
-        for k in list(left):
-            took = rounds * parts[k] + sum(p < rest for p in places[k])
-            out[k].append((done[k], done[k] + took, parts[k], total, offset, places[k]))
-            done[k] += took
-            left[k] -= took
-            if not left[k]:
-                del left[k]
-        offset += slots
+        turns = earliest_deadlines(dict(left), shares)
+        ended = False
+        while not ended:
+            places: dict[object, list[int]] = {}
+            n = 0
+            while n < resolution and (k := next(turns, turns)) is not turns:
+                places.setdefault(k, []).append(n)
+                n += 1
+            ended = n < resolution
+            if n:
+                yield offset, n, {k: (done[k], at) for k, at in places.items()}
+            for k, at in places.items():
+                done[k] += len(at)
+                left[k] -= len(at)
+            offset += n
+        left = {k: n for k, n in left.items() if n}
+
+
+def phases(
+    blocks: Mapping[object, int], weights: Mapping[object, float | Fraction], resolution: int = RESOLUTION
+) -> dict[object, list[tuple[int, int, int, int, int, list[int]]]]:
+    """For each source its (first block, last block, parts, round, offset, places) by stretch."""
+    out: dict[object, list[tuple[int, int, int, int, int, list[int]]]] = {k: [] for k, n in blocks.items() if n > 0}
+    for offset, n, by_source in stretches(blocks, weights, resolution):
+        for k, (first, places) in by_source.items():
+            out[k].append((first, first + len(places), len(places), n, offset, places))
     return out
 
 
@@ -122,25 +157,52 @@ def default_targets(sizes: Mapping[object, int], alpha: float = ALPHA) -> dict[o
 def _schedule(
     spark: SparkSession,
     sizes: Mapping[object, int],
-    targets: Mapping[object, float] | None,
+    targets: Mapping[object, float | Fraction] | None,
     block_bytes: int,
     resolution: int,
     source_type: T.DataType,
 ) -> DataFrame:
+    """A written table (source, block, slot), one row per block."""
     given = default_targets(sizes) if targets is None else dict(targets)
     if any(w <= 0 for w in given.values()):
         raise ValueError("targets must be above zero")
-    weights = {k: given.get(k, min(given.values(), default=1.0)) for k in sizes}
+    smallest = min(given.values(), default=1.0)
+    names = list(sizes)
+    weights = {k: given.get(k, smallest) for k in names}
     blocks = {k: -(-n // block_bytes) for k, n in sizes.items()}
-    rows = [(k, ph) for k, ph in phases(blocks, weights, resolution).items()]
-    schema = T.StructType([T.StructField("_source", source_type), T.StructField("_phases", PHASE)])
-    return spark.createDataFrame(rows, schema)
+    schema = T.StructType(
+        [
+            T.StructField("_source", source_type),
+            T.StructField("_block", T.LongType()),
+            T.StructField("slot", T.LongType()),
+        ]
+    )
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    path = fresh_path(spark, "mix-schedule")
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def write(*columns: list[object]) -> None:
+        table = pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=schema.names)
+        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+
+    source, block, slot = [], [], []
+    for offset, _, by_source in stretches(blocks, weights, resolution):
+        for k, (first, places) in by_source.items():
+            source += [k] * len(places)
+            block += range(first, first + len(places))
+            slot += [offset + place for place in places]
+        if len(slot) >= HELD_SLOTS:
+            write(source, block, slot)
+            source, block, slot = [], [], []
+    if slot:
+        write(source, block, slot)
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix_units(
     docs: DataFrame,
     *,
-    targets: Mapping[object, float] | None = None,
+    targets: Mapping[object, float | Fraction] | None = None,
     block_bytes: int = BLOCK_BYTES,
     resolution: int = RESOLUTION,
     seed: int = 0,
@@ -176,25 +238,24 @@ def mix_units(
 
 def _slots(lined: DataFrame, schedule: DataFrame, block_bytes: int) -> DataFrame:
     blocked = lined.withColumn("block", F.expr(f"source_offset div {block_bytes}"))
-    joined = blocked.join(schedule, F.col("source").eqNullSafe(F.col("_source")))
-    phase = F.filter("_phases", lambda p: (F.col("block") >= p["first"]) & (F.col("block") < p["last"]))[0]
-    at = F.col("_phase")
-    turn = F.expr("(block - _phase.first) div _phase.parts")
-    place = F.col("_phase.places")[((F.col("block") - at["first"]) % at["parts"]).cast("int")]
-    return (
-        joined.withColumn("_phase", phase)
-        .withColumn("slot", at["offset"] + turn * at["round"] + place)
-        .drop("_phase", "_phases", "_source")
-    )
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
+    return blocked.join(schedule, same).drop("_source", "_block")
 
 
 def in_mixed_order(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options: object
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    places: tuple[str, str] | None = None,
+    **options: object,
 ) -> DataFrame:
     """All rows of ``docs`` with their columns, range-partitioned in the order of the mix.
 
     Only ids, marks and sizes are scheduled; the texts move twice, to meet
-    their place and to be laid out.
+    their place and to be laid out.  ``places`` names two more columns to return,
+    slot and source_offset, which keep the order where a table does not.
     """
     mixed = mix_units(docs, doc_id=doc_id, text=text, source=source, **options).select(
         F.col("doc_id").alias("_id"),
@@ -210,6 +271,6 @@ def in_mixed_order(
     )
     joined = docs.withColumn("_text_mark", mark(text)).join(mixed, same)
     n = shuffle_partitions(docs.sparkSession)
-    return (
-        joined.repartitionByRange(n, "_slot", "_start").sortWithinPartitions("_slot", "_start").select(*docs.columns)
-    )
+    laid_out = joined.repartitionByRange(n, "_slot", "_start").sortWithinPartitions("_slot", "_start")
+    kept = [F.col(c).alias(name) for c, name in zip(("_slot", "_start"), places or (), strict=False)]
+    return laid_out.select(*docs.columns, *kept)
