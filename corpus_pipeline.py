@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from linkloom.llm.shared import documents
 from linkloom.runtime import fresh_path
 
+#: Target weights of the sources; None: those of ``mixing.default_targets``.
+TARGETS: Mapping[object, float] | None = None
+#: Columns that carry the order of the mix through the written table to the packing.
+PLACES = ("mix_slot", "mix_offset")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good_documents(docs)
@@ -22,11 +29,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, targets=TARGETS, places=PLACES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, order=PLACES)
 
 
 STAGES = [

@@ -2,8 +2,9 @@
 
 Texts are tokenised in Arrow batches and cut to pieces of at most ``length``
 ids; only the numbers of a piece (ids, start, length, checksum) go on.  Full
-pieces fill a sequence alone.  The others are dealt by hash into groups of a
-bounded number of ids, and each group is packed by itself:
+pieces fill a sequence alone.  The others are dealt by hash (or, for documents in
+a given order, as consecutive runs of it) into groups of a bounded number of ids,
+and each group is packed by itself:
 
 * greedy: open a sequence with the longest piece left, add the longest that fits;
 * best two: let the smallest piece of the sequence go if two unpacked pieces
@@ -24,7 +25,7 @@ import base64
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.shared import ordered, running_totals
 from linkloom.runtime import materialize
 
 LENGTH = 2_048
@@ -78,7 +80,7 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, length) for at in range(first, n, length))]
 
 
-def _pieces(name: str, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(name: str, length: int, carried: Sequence[str] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name)
         for batch in batches:
@@ -103,8 +105,9 @@ def _pieces(name: str, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     pa.array(start, pa.int64()),
                     pa.array(size, pa.int64()),
                     pa.array(crc, pa.int64()),
+                    *(batch.column(c).take(pa.array(at, pa.int64())) for c in carried),
                 ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", *carried],
             )
 
     return pieces
@@ -117,11 +120,22 @@ def token_pieces(
     text: str = "text",
     length: int = LENGTH,
     tokenizer: str = "byte_bpe_50k",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """A written table of the pieces of all documents: doc_id, piece, start, length, ids_crc32."""
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(given.dtypes)["doc_id"]
-    return materialize(given.mapInArrow(_pieces(tokenizer, length), f"doc_id {kind}, {PIECES}"), "pieces")
+    """A written table of the pieces of all documents: doc_id, piece, start, length, ids_crc32.
+
+    The columns of ``order`` are carried along as _order0, _order1 and so on.
+    """
+    carried = [f"_order{i}" for i in range(len(order))]
+    given = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(text).alias("text"),
+        *(F.col(c).alias(name) for c, name in zip(order, carried, strict=True)),
+    )
+    kinds = dict(given.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in carried)
+    schema = f"doc_id {kinds['doc_id']}, {PIECES}{more}"
+    return materialize(given.mapInArrow(_pieces(tokenizer, length, carried), schema), "pieces")
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,19 +214,53 @@ def _packed(capacity: int) -> Callable[[pa.Table], pa.Table]:
     return packed
 
 
-def pack_pieces(pieces: DataFrame, *, length: int = LENGTH, group_ids: int = GROUP_IDS) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+def _packed_in_order(capacity: int) -> Callable[[pa.Table], pa.Table]:
+    """As ``_packed``; equal lengths go, and sequences are numbered, by the first place."""
+
+    def packed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_before")
+        sequence, offset = best_two_fit(group["length"].to_numpy(), capacity)
+        _, first, inverse = np.unique(sequence, return_index=True, return_inverse=True)
+        number = (group["pack"].to_numpy() << 32) + np.argsort(np.argsort(first))[inverse]
+        return group.drop_columns(["pack", "_before"]).append_column("sequence_id", pa.array(number)).append_column(
+            "offset", pa.array(offset)
+        )
+
+    return packed
+
+
+def pack_pieces(
+    pieces: DataFrame, *, length: int = LENGTH, group_ids: int = GROUP_IDS, order: Sequence[str] = ()
+) -> DataFrame:
+    """The pieces with sequence_id and offset.
+
+    With ``order`` (columns of the pieces) a group is a run of consecutive
+    pieces in that order, and sequence_id follows it; otherwise pieces are dealt
+    to the groups by hash.
+    """
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, round(total / group_ids))
+    kind = dict(pieces.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, {PIECES}, sequence_id long, offset long"
+    if order:
+        keys = [F.col(c) for c in (*order, "doc_id", "piece", "ids_crc32")]
+        placed = ordered(pieces.withColumn("_all", F.lit(0)), keys, "piece-order").drop(*order)
+        lined = running_totals(placed, "_all", "length", "_before").drop("_all")
+        runs = lined.withColumn("pack", F.expr(f"_before div {max(1, -(-total // groups))}"))
+        return runs.groupBy("pack").applyInArrow(_packed_in_order(length), schema)
     dealt = pieces.withColumn(
         "pack", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long")
     )
-    kind = dict(pieces.dtypes)["doc_id"]
-    return dealt.groupBy("pack").applyInArrow(
-        _packed(length), f"doc_id {kind}, {PIECES}, sequence_id long, offset long"
-    )
+    return dealt.groupBy("pack").applyInArrow(_packed(length), schema)
 
 
-def pack_documents(docs: DataFrame, *, length: int = LENGTH, group_ids: int = GROUP_IDS, **options: str) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(token_pieces(docs, length=length, **options), length=length, group_ids=group_ids)
+def pack_documents(
+    docs: DataFrame, *, length: int = LENGTH, group_ids: int = GROUP_IDS, order: Sequence[str] = (), **options: str
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``order`` names the columns of ``docs`` whose order the sequences follow.
+    """
+    pieces = token_pieces(docs, length=length, order=order, **options)
+    carried = [f"_order{i}" for i in range(len(order))]
+    return pack_pieces(pieces, length=length, group_ids=group_ids, order=carried)
