@@ -37,8 +37,9 @@ STRONG = {
     "hex": r"[0-9a-f]{24,}",
 }
 WEAK = {
-    "secret": r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])",
-    "identifier": r"(?<![A-Za-z0-9_])(?=[UuLlCcAa])(?i:user(?:name|_?id)?|login|client_?id|access_?key_?id|account)"
+    # a single "=" before it assigns; base64 padding stands at the end only
+    "secret": r"(?<![A-Za-z0-9/+_-]|[=+/]=)[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_-])",
+    "identifier": r"(?<![A-Za-z0-9])(?=[UuLlCcAa])(?i:user(?:name|_?id)?|login|client_?id|access_?key_?id|account)"
     r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]{3,}""",
     "endpoint": r"(?<![A-Za-z0-9])(?:(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://"
     r"""[^\x20\x09-\x0D"'<>]+|[a-z0-9][a-z0-9.-]*\.amazonaws\.com)""",
