@@ -100,21 +100,21 @@ def keep_decided(docs: DataFrame, decisions: DataFrame, *, doc_id: str, text: st
     """The rows of ``docs`` that ``decisions`` (doc_id, mark, kept; one row each) keep.
 
     Rows are matched by id and mark of the text, so ids may be null or repeated;
-    of rows that agree in both, as many stay as decisions say, up to one.
+    of rows that agree in both, as many stay as decisions keep.
     The texts move once; the decisions are small rows.
     """
     by_row = materialize(
         decisions.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-        .agg(F.max("kept").alias("_stays"), F.count("*").alias("_n"))
-        .filter("NOT _stays OR _n > 1"),
+        .agg(F.count_if("kept").alias("_stay"), F.count("*").alias("_n"))
+        .filter("_stay < _n"),
         "decisions",
     )
     marked = docs.withColumn("_text_mark", mark(text))
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark"))
-    left = marked.join(by_row.filter("NOT _stays"), same, "left_anti")
-    again = by_row.filter("_stays")
+    left = marked.join(by_row.filter("_stay = 0"), same, "left_anti")
+    again = by_row.filter("_stay > 0")
     if not again.isEmpty():
         first = Window.partitionBy(doc_id, "_text_mark").orderBy(F.lit(0))
-        one = left.join(again, same, "left_semi").withColumn("_nth", F.row_number().over(first))
-        left = left.join(again, same, "left_anti").unionByName(one.filter("_nth = 1").drop("_nth"))
+        some = left.join(again, same).withColumn("_nth", F.row_number().over(first)).filter("_nth <= _stay")
+        left = left.join(again, same, "left_anti").unionByName(some.select(*left.columns))
     return left.drop("_text_mark")
