@@ -14,8 +14,12 @@ from linkloom.runtime import materialize
 SPACE = r"[\x20\x09-\x0D]"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
