@@ -216,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = P
     Only ids and hashes of texts are joined with the labels; texts are read for
     the drawn rows alone, which have a fixed bound.
     """
+    docs = docs.select("doc_id", "text")
     marked = docs.select("doc_id", F.xxhash64("text").alias("_mark"), held_out.alias("_out"))
     learn = materialize(
         marked.filter("NOT _out").drop("_out").distinct().join(verdicts(labels, held_out), "doc_id"), "labelled"
