@@ -1,7 +1,9 @@
 """Scores as fixed-point integers.
 
 Weights are summed as whole numbers of 1e-12, so a sum does not depend on the
-order in which partitions arrive or on a task being run again.  A finished
+order in which partitions arrive or on a task being run again.  They are
+decimals of 38 digits, which hold any sum of scores; a caller that has proved
+that its sums stay under LARGEST_SUM may cast them to 64 bits.  A finished
 score is rounded half up to 9 digits with integer arithmetic.
 """
 
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 
 UNIT = 10**12
 ROUNDING_STEP = 1000
+#: Sums (as doubles) under this fit 64 bits, whatever the rounding of the doubles.
+LARGEST_SUM = 9e18
 
 
 def to_fixed(value: Column) -> Column:
-    return F.round(value * F.lit(float(UNIT))).cast("bigint")
+    return F.round(value * F.lit(float(UNIT))).cast("decimal(38,0)")
 
 
 def from_fixed(value: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import ids, scores
 from linkloom.operators.blocking import with_sizes
-from linkloom.operators.shared_top_k import PAIR_LIMIT, grid_join
+from linkloom.operators.shared_top_k import in_cells
 from linkloom.runtime import materialize
 
 
@@ -133,61 +133,50 @@ def contributions(value_pairs: DataFrame, neighbor_pairs: DataFrame, truth: Data
     ).withColumn("max_recall", F.try_divide(F.col("either").cast("double"), known.cast("double")))
 
 
-def evaluate_blocks(members: DataFrame, truth: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Quality of all distinct pairs that share a block, without filtering.
+def _met_pairs(sized: DataFrame) -> DataFrame:
+    """One row ``v``: how many distinct pairs meet in some block.
 
-    Distinct pairs are counted, not listed, where blocks are large: entities
-    in the same set of large blocks are counted as one signature with a size,
-    and the pairs of the small blocks are added unless their signatures
-    already meet.
+    A pair is counted in its largest common block alone: there no larger block
+    of one entity is a larger block of the other.  So each membership carries
+    the larger blocks of its entity, and members that agree in them are folded
+    into one row with their number.  The largest blocks have the fewest larger
+    ones, so that those with the most pairs fold best.  What is shuffled grows
+    with the memberships; pairs are neither listed nor made distinct.
     """
-    sized = materialize(with_sizes(members), "sized-blocks")
-    light = scores.comparisons(F.col("n1"), F.col("n2")) <= F.lit(float(pair_limit))
-    folded = (
-        sized.where(~light)
-        .groupBy("entity_id")
-        .agg(F.array_sort(F.collect_set("block_id")).alias("sig_blocks"))
-        .withColumn("sig", F.sha2(F.to_json(F.struct("sig_blocks")), 256))
+    blocks = materialize(
+        sized.select("block_id", "n1", "n2").distinct().withColumn("number", F.monotonically_increasing_id()), "blocks"
     )
-    folded = materialize(folded, "block-signatures")
-
-    def groups(side: Column, name: str) -> tuple[DataFrame, DataFrame]:
-        table = (
-            folded.where(side)
-            .groupBy(F.col("sig").alias(name))
-            .agg(F.any_value("sig_blocks").alias("b"), F.count(F.lit(1)).alias("size"))
-        )
-        return table.select(name, F.explode("b").alias("feature")), table.select(name, "size")
-
-    entity = F.col("entity_id")
-    blocks1, sizes1 = groups(ids.is_first(entity), "sig1")
-    blocks2, sizes2 = groups(ids.is_second(entity), "sig2")
-    met = (
-        grid_join(blocks1.withColumn("weight", F.lit(1)), blocks2, max(1, int(pair_limit**0.5)))
-        .select("sig1", "sig2")
-        .distinct()
-        .join(sizes1.withColumnRenamed("size", "c1"), "sig1")
-        .join(sizes2.withColumnRenamed("size", "c2"), "sig2")
+    larger = (
+        Window.partitionBy("entity_id")
+        .orderBy(scores.comparisons(F.col("n1"), F.col("n2")).desc(), "number")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    met = materialize(met, "met-signatures")
-    small = sized.where(light)
-    pairs = (
-        small.where(ids.is_second(entity))
-        .select("block_id", entity.alias("d2_id"))
-        .join(small.where(ids.is_first(entity)).select("block_id", entity.alias("d1_id")), "block_id")
-        .select("d2_id", "d1_id")
-        .distinct()
-        .join(folded.select(entity.alias("d2_id"), F.col("sig").alias("sig2")), "d2_id", "left")
-        .join(folded.select(entity.alias("d1_id"), F.col("sig").alias("sig1")), "d1_id", "left")
-        .join(met.select("sig1", "sig2"), ["sig1", "sig2"], "left_anti")
+    first = ids.is_first(F.col("entity_id"))
+    folded = (
+        sized.select("block_id", "entity_id")
+        .join(blocks, "block_id")
+        .withColumn("above", F.collect_list("number").over(larger))
+        .groupBy("number", first.alias("first"), "above")
+        .agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("c"))
+    )
+    folded = materialize(folded, "folded-members")
+    rows = folded.groupBy("number").agg(
+        F.count_if("first").alias("n1"), F.count_if(~F.col("first")).alias("n2")
     )
-    small_pairs = pairs.agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("v"))
-    big_pairs = met.agg(
-        F.sum(F.col("c1").cast("decimal(19,0)") * F.col("c2").cast("decimal(19,0)"))
-        .cast("decimal(38,0)")
-        .alias("v")
+    placed = folded.join(rows, "number")
+    one, two = in_cells(placed.where("first"), placed.where("NOT first"), "above", "above")
+    key = ["number", "row", "col"]
+    met = one.select(*key, F.col("above").alias("e1"), F.col("c").alias("c1")).join(
+        two.select(*key, F.col("above").alias("e2"), F.col("c").alias("c2")), key
     )
-    total = small_pairs.unionByName(big_pairs).agg(F.coalesce(F.sum("v"), F.lit(0)).cast("bigint").alias("v")).scalar()
+    pairs = F.when(~F.arrays_overlap("e1", "e2"), F.col("c1") * F.col("c2"))
+    return met.agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("bigint").alias("v"))
+
+
+def evaluate_blocks(members: DataFrame, truth: DataFrame) -> DataFrame:
+    """Quality of all distinct pairs that share a block, without filtering."""
+    sized = materialize(with_sizes(members), "sized-blocks")
+    total = _met_pairs(sized).scalar()
     known = truth.agg(F.count(F.lit(1)).alias("v")).scalar()
     kept = sized.select("block_id", "entity_id")
     found = (

@@ -24,7 +24,8 @@ def _list_sizes(candidates: DataFrame) -> DataFrame:
 
 
 def _ranked_share(candidates: DataFrame, factor: float) -> DataFrame:
-    share = scores.to_fixed(scores.rank_score(factor, F.col("size"), F.col("rank")))
+    # at most 1, so that 64 bits hold the sums
+    share = scores.to_fixed(scores.rank_score(factor, F.col("size"), F.col("rank"))).cast("bigint")
     return candidates.join(_list_sizes(candidates), "entity_id").select(
         "entity_id", "cand_id", share.alias("weight")
     )

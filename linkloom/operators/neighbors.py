@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import ids, scores
-from linkloom.operators.shared_top_k import PAIR_LIMIT, shared_top_k
+from linkloom.operators.shared_top_k import EFFORT, PROBES, link_posts, top_partners
+from linkloom.runtime import materialize
 
 
 def _degrees(in_neighbors: DataFrame, key: str, count: str) -> DataFrame:
@@ -57,21 +58,21 @@ def top_neighbor_candidates(
     k: int,
     combine: str = "sum",
     *,
-    pair_limit: int = PAIR_LIMIT,
+    effort: int = EFFORT,
+    probes: int = PROBES,
 ) -> DataFrame:
     """Top-K candidates by neighbour similarity: ``(entity_id, cand_id, score, rank)``.
 
     combine -- ``sum`` or ``max`` of the value similarities of the neighbours
+    effort, probes -- as in `top_partners`
     """
     if combine not in ("sum", "max"):
         raise ValueError("combine must be 'sum' or 'max'")
-    links = neighbor_links(value_candidates, in_neighbors, combine)
+    links = materialize(neighbor_links(value_candidates, in_neighbors, combine), "neighbor-links")
     carried = in_neighbors.select(F.col("in_id").alias("entity_id"), F.col("entity_id").alias("feature"))
-    return shared_top_k(
+    posts = link_posts(
         carried.where(ids.is_first(F.col("entity_id"))),
         carried.where(ids.is_second(F.col("entity_id"))),
         links.select(F.col("d1_id").alias("f1"), F.col("d2_id").alias("f2"), "weight", "n1", "n2"),
-        k,
-        combine=combine,
-        pair_limit=pair_limit,
     )
+    return top_partners(materialize(posts, "neighbor-posts"), k, combine=combine, effort=effort, probes=probes)

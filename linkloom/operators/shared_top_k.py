@@ -1,22 +1,24 @@
-"""Exact top-K partners by what two entities share, without hot-group blow-up.
-
-Entities of collection 1 and 2 carry *features*; a *link* ``(f1, f2, weight)``
-connects a feature of collection 1 with one of collection 2.  The score of a
-pair is the sum (or maximum) of the weights of the links between their
-features.  With blocks, a feature is a block and links to itself; with
-neighbours, a feature is a neighbour and the links are candidate pairs.
-
-A link whose two feature groups have at most ``pair_limit`` pairs is *light*
-and simply joined.  The other links are *heavy*, and no pairs of entities are
-formed from them.  Entities with the same heavy features (and norm) are
-interchangeable there, so they are folded into one *signature*:
-
-* signatures are joined instead of entities, in bounded grid cells per feature;
-* of each signature only its K smallest ids can enter a list through heavy
-  links alone, because all its members tie and ties go to the smaller id;
-* a signature whose total heavy weight stays below the K-th light score of all
-  its members cannot add partners; it is joined only for the pairs that the
-  light links already found.
+"""Exact top-K partners by what two entities share, with score-bounded candidates.
+
+Entities of collection 1 and 2 have *posts* ``(entity_id, link, weight, n1, n2)``:
+``n1`` entities of collection 1 and ``n2`` of collection 2 have a post under the
+link, and the score of a pair is the sum (or maximum) of the weights of the
+links that both have.  With blocks a link is a block; with neighbours it is a
+pair of neighbours that are alike.
+
+An entity whose links offer few partners forms all its pairs.  The others would
+meet very many partners under their common links, most of which cannot enter
+the list.  For them the posts are ordered by falling weight:
+
+* *seeds*: partners under the first links, and the smallest ids under the link
+  that would be too many; the best of them are scored exactly.  The K-th of
+  these scores is a lower bound of what a listed partner needs;
+* *head*: a partner that is first met at a post can score no more than that
+  post and those after it.  Posts from which this reaches the bound generate
+  partners; the rest, the *tail*, generates none.  Where it just equals the
+  bound, only ids up to that of the K-th can enter, and the smallest ids of the
+  link suffice;
+* the tail completes the scores of those partners that can still reach the bound.
 
 The lists are the same as if every pair had been formed.
 """
@@ -26,15 +28,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions import scores
+from linkloom.functions import ids, scores
 from linkloom.runtime import materialize
 
-PAIR_LIMIT = 1_000_000
-PAIRS_PER_TASK = 1_000_000
-MAX_TASKS = 100_000
+#: An entity is bounded if it would form more than EFFORT * k pairs for each of its links.
+EFFORT = 64
+#: Seeds that are scored exactly, as a multiple of k; four times as many are looked at.
+PROBES = 8
+#: A link is joined in cells of at most about CELL * CELL pairs.
+CELL = 1000
 
 
-def keep_top(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
+def keep_top(df: DataFrame, key: str | list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of every key, numbered in ``rank``.
 
     ``k`` is a literal, so Spark prunes each group before the shuffle.
@@ -47,28 +52,10 @@ def best_first() -> list[Column]:
     return [F.col("score").desc(), F.col("cand_id").asc()]
 
 
-def _combine(combine: str, weight: str) -> Column:
+def _combine(combine: str, weight: str | Column) -> Column:
     return F.max(weight) if combine == "max" else F.sum(weight)
 
 
-def _is_light(pair_limit: int) -> Column:
-    return scores.comparisons(F.col("n1"), F.col("n2")) <= F.lit(float(pair_limit))
-
-
-def _size_up(links: DataFrame, pair_limit: int) -> tuple[bool, int]:
-    """Whether there are heavy links, and how many tasks the light pairs deserve.
-
-    Spark sizes tasks by input bytes, but here the output is many times the
-    input; so the pairs are counted from the links first.
-    """
-    light = _is_light(pair_limit)
-    row = links.agg(
-        F.count_if(~light).alias("heavy"),
-        F.sum(F.when(light, scores.comparisons(F.col("n1"), F.col("n2")))).alias("pairs"),
-    ).first()
-    return row["heavy"] > 0, min(MAX_TASKS, 1 + int((row["pairs"] or 0) // PAIRS_PER_TASK))
-
-
 def _both_directions(pairs: DataFrame) -> DataFrame:
     forward = F.struct(F.col("d2_id").alias("entity_id"), F.col("d1_id").alias("cand_id"))
     backward = F.struct(F.col("d1_id").alias("entity_id"), F.col("d2_id").alias("cand_id"))
@@ -77,14 +64,14 @@ def _both_directions(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _scored(directed: DataFrame, norms: DataFrame | None) -> DataFrame:
+def _scored(directed: DataFrame, norms: DataFrame | None, weight: str = "weight") -> DataFrame:
     """Add ``score``; with norms it is the weight over the norms of both ends."""
     if norms is None:
-        return directed.withColumn("score", scores.from_fixed(F.col("weight")))
+        return directed.withColumn("score", scores.from_fixed(F.col(weight)))
     own = norms.select("entity_id", F.col("norm").alias("own_norm"))
     other = norms.select(F.col("entity_id").alias("cand_id"), F.col("norm").alias("cand_norm"))
     joined = directed.join(own, "entity_id").join(other, "cand_id")
-    ratio = _ratio(F.col("weight"), F.col("own_norm") + F.col("cand_norm"))
+    ratio = _ratio(F.col(weight), F.col("own_norm") + F.col("cand_norm"))
     return joined.withColumn("score", ratio).drop("own_norm", "cand_norm")
 
 
@@ -92,213 +79,211 @@ def _ratio(weight: Column, norm: Column) -> Column:
     return F.coalesce(F.try_divide(weight.cast("double"), norm.cast("double")), F.lit(0.0))
 
 
-def _signatures(features: DataFrame, heavy_features: DataFrame, norms: DataFrame | None) -> DataFrame:
-    """``(entity_id, sig, sig_features, norm)`` of the entities with heavy features."""
-    folded = (
-        features.join(heavy_features, "feature", "left_semi")
-        .groupBy("entity_id")
-        .agg(F.array_sort(F.collect_set("feature")).alias("sig_features"))
-    )
-    if norms is None:
-        folded = folded.withColumn("norm", F.lit(0).cast("bigint"))
-    else:
-        folded = folded.join(norms.select("entity_id", "norm"), "entity_id")
-    digest = F.sha2(F.to_json(F.struct("sig_features", "norm")), 256)
-    return folded.withColumn("sig", digest)
-
+def in_cells(
+    first: DataFrame, second: DataFrame, key1: str | list[str], key2: str | list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with the columns ``row`` and ``col`` to join on as well.
 
-def _close_settled(
-    signed: DataFrame, heavy_weight: DataFrame, kth: DataFrame, combine: str, normed: bool
-) -> DataFrame:
-    """Mark each entity ``open`` unless its K light partners beat any heavy-only partner.
-
-    ``heavy_weight`` is the total heavy weight behind each feature; their sum
-    bounds the score of a partner found through heavy links alone.
+    Both have ``n1`` and ``n2``, the rows that a join key has on either side.  A
+    key with many is cut into cells; so a hot key spreads over tasks, and each
+    row is repeated only once for about CELL rows of the other side.
     """
-    bounds = (
-        signed.groupBy("sig")
-        .agg(F.any_value("sig_features").alias("sig_features"))
-        .select("sig", F.explode("sig_features").alias("feature"))
-        .join(heavy_weight, "feature")
-        .groupBy("sig")
-        .agg(_combine(combine, "weight").alias("bound_weight"))
-    )
-    if normed:
-        bound = F.try_divide(F.col("bound_weight").cast("double"), F.col("norm").cast("double"))
-        bound = F.when(F.col("norm") == 0, F.lit(None)).otherwise(bound)
-    else:
-        bound = scores.from_fixed(F.col("bound_weight"))
+    g1 = F.ceil(F.col("n1") / CELL).cast("bigint")
+    g2 = F.ceil(F.col("n2") / CELL).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    keys1, keys2 = ([k] if isinstance(k, str) else k for k in (key1, key2))
     return (
-        signed.join(bounds, "sig")
-        .join(kth, "entity_id", "left")
-        .withColumn("open", ~F.coalesce(bound < F.col("kth_score"), F.lit(False)))
-        .drop("bound_weight", "kth_score")
+        first.withColumn("row", F.pmod(F.xxhash64(*keys1), g1)).withColumn("col", F.explode(F.sequence(zero, g2 - 1))),
+        second.withColumn("col", F.pmod(F.xxhash64(*keys2), g2)).withColumn("row", F.explode(F.sequence(zero, g1 - 1))),
     )
 
 
-def _signature_table(signed: DataFrame) -> DataFrame:
-    """One row per signature and feature: ``(sig, feature, open)``."""
-    return (
-        signed.groupBy("sig")
-        .agg(F.any_value("sig_features").alias("f"), F.bool_or("open").alias("open"))
-        .select("sig", F.explode("f").alias("feature"), "open")
-    )
+def grid_join(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(d2_id, d1_id, weight)`` of the posts of both collections under the same link."""
+    cut_first, cut_second = in_cells(first, second, "entity_id", "entity_id")
+    ours = cut_first.select("link", "row", "col", F.col("entity_id").alias("d1_id"), "weight")
+    theirs = cut_second.select("link", "row", "col", F.col("entity_id").alias("d2_id"))
+    return ours.join(theirs, ["link", "row", "col"]).select("d2_id", "d1_id", "weight")
 
 
-def grid_join(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
-    """Join ``left(feature, sig1, weight)`` and ``right(feature, sig2)`` on the feature.
+def _weighed(pairs: DataFrame, combine: str) -> DataFrame:
+    # The links of one pair sit in many tasks, so combining before the shuffle
+    # would build large hash tables and merge next to nothing.
+    return pairs.repartition("d2_id", "d1_id").groupBy("d2_id", "d1_id").agg(_combine(combine, "weight").alias("weight"))
 
-    A feature shared by many signatures is cut into cells of about
-    ``cell * cell`` pairs; each cell is a join key of its own.
-    """
-    left_n = left.groupBy("feature").agg(F.count(F.lit(1)).alias("c1"))
-    right_n = right.groupBy("feature").agg(F.count(F.lit(1)).alias("c2"))
-    grid = left_n.join(right_n, "feature").select(
-        "feature",
-        F.ceil(F.col("c1") / cell).cast("bigint").alias("g1"),
-        F.ceil(F.col("c2") / cell).cast("bigint").alias("g2"),
-    )
-    zero = F.lit(0).cast("bigint")
-    cut_left = left.join(grid, "feature").select(
-        "feature",
-        "sig1",
-        "weight",
-        F.pmod(F.xxhash64("sig1"), F.col("g1")).alias("row"),
-        F.explode(F.sequence(zero, F.col("g2") - 1)).alias("col"),
-    )
-    cut_right = right.join(grid, "feature").select(
-        "feature",
-        "sig2",
-        F.pmod(F.xxhash64("sig2"), F.col("g2")).alias("col"),
-        F.explode(F.sequence(zero, F.col("g1") - 1)).alias("row"),
-    )
-    return cut_left.join(cut_right, ["feature", "row", "col"]).select("sig1", "sig2", "weight")
 
+def _sides(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return posts.where(ids.is_first(F.col("entity_id"))), posts.where(ids.is_second(F.col("entity_id")))
 
-def _linked_signatures(
-    table1: DataFrame, table2: DataFrame, links: DataFrame, found: DataFrame, combine: str, cell: int
-) -> DataFrame:
-    """Heavy score of the signature pairs that matter: ``(sig1, sig2, heavy)``."""
-    reach = table1.withColumnRenamed("sig", "sig1").join(
-        links.select(F.col("f1").alias("feature"), "f2", "weight"), "feature"
-    )
-    left = reach.select(F.col("f2").alias("feature"), "sig1", "weight", "open")
-    right = table2.select("feature", F.col("sig").alias("sig2"), "open")
-    parts = [
-        grid_join(left.where("open"), right, cell),
-        grid_join(left.where("not open"), right.where("open"), cell),
-        found.join(left.where("not open").drop("open"), "sig1")
-        .join(right.where("not open").drop("open"), ["sig2", "feature"])
-        .select("sig1", "sig2", "weight"),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("sig1", "sig2").agg(_combine(combine, "weight").alias("heavy"))
-
-
-def _heavy_lists(
-    signed_own: DataFrame, signed_other: DataFrame, linked: DataFrame, own: str, other: str, k: int, normed: bool
-) -> DataFrame:
-    """Top-K partners through heavy links alone, for the open entities of one side."""
-    members = signed_other.select(F.col("sig").alias(other), "entity_id", F.col("norm").alias("cand_norm"))
-    smallest = keep_top(members, other, [F.col("entity_id").asc()], k)
-    offered = (
-        linked.select(own, other, "heavy")
-        .join(smallest.drop("rank").withColumnRenamed("entity_id", "cand_id"), other)
-        .select(own, "cand_id", "heavy", "cand_norm")
-    )
-    takers = signed_own.where("open").select(F.col("sig").alias(own), "entity_id", "norm")
-    if normed:
-        own_norm = takers.groupBy(own).agg(F.any_value("norm").alias("norm"))
-        offered = offered.join(own_norm, own).withColumn(
-            "score", _ratio(F.col("heavy"), F.col("norm") + F.col("cand_norm"))
+
+class _Bounded:
+    """The steps for the entities that would form too many pairs."""
+
+    def __init__(
+        self, posts: DataFrame, wide: DataFrame, k: int, combine: str, norms: DataFrame | None, probes: int
+    ) -> None:
+        self.k, self.combine, self.norms, self.probes = k, combine, norms, probes * k
+        self.n_seeds = 4 * self.probes
+        side = F.when(ids.is_first(F.col("entity_id")), F.lit(1)).otherwise(F.lit(2))
+        self.posts = posts.withColumn("side", side)
+        order = Window.partitionBy("entity_id").orderBy(F.col("weight").desc(), F.col("link"))
+        onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self.ranked = materialize(
+            self.posts.join(wide, "entity_id", "left_semi")
+            .withColumn("other", F.lit(3) - F.col("side"))
+            .withColumn("reach", _combine(combine, "weight").over(onward))
+            .withColumn("offered", F.sum("n_other").over(so_far)),
+            "ranked-posts",
         )
-    else:
-        offered = offered.withColumn("score", scores.from_fixed(F.col("heavy")))
-    best = keep_top(offered, own, best_first(), k).select(own, "cand_id", F.col("heavy").alias("weight"))
-    return takers.select(own, "entity_id").join(best, own).select("entity_id", "cand_id", "weight")
+        self.smallest = self._smallest_ids()
+
+    def _smallest_ids(self) -> DataFrame:
+        """The smallest ids under the links that are too many to be seeds: ``(link, side, cand_id)``."""
+        crowded = self._crowded().select("link", F.col("other").alias("side")).distinct()
+        under = self.posts.join(crowded, ["link", "side"], "left_semi")
+        kept = keep_top(under, ["link", "side"], [F.col("entity_id").asc()], self.n_seeds)
+        return materialize(kept.select("link", "side", F.col("entity_id").alias("cand_id")), "smallest-ids")
+
+    def _crowded(self) -> DataFrame:
+        """The first post of each entity at which the seeds become too many."""
+        return self.ranked.where(
+            (F.col("offered") > self.n_seeds) & (F.col("offered") - F.col("n_other") <= self.n_seeds)
+        )
+
+    def _partners(self, ranked: DataFrame, members: DataFrame) -> DataFrame:
+        theirs = members.select("link", F.col("side").alias("other"), "cand_id")
+        return ranked.join(theirs, ["link", "other"])
+
+    def _completed(self, pairs: DataFrame, own: DataFrame, theirs: DataFrame) -> DataFrame:
+        """The weights of the links in ``own`` and ``theirs`` that both ends of ``pairs`` have."""
+        reached = pairs.select("entity_id", "cand_id").join(own.select("entity_id", "link", "weight"), "entity_id")
+        held = theirs.select(F.col("entity_id").alias("cand_id"), "link")
+        return reached.join(held, ["cand_id", "link"]).select("entity_id", "cand_id", "weight")
+
+    def _best(self, weights: DataFrame, k: int) -> DataFrame:
+        pairs = weights.groupBy("entity_id", "cand_id").agg(_combine(self.combine, "weight").alias("weight"))
+        return keep_top(_scored(pairs, self.norms), "entity_id", best_first(), k)
+
+    def kth(self) -> DataFrame:
+        """``(entity_id, kth_score, kth_id)``: K partners are at least that good."""
+        members = self.posts.withColumn("cand_id", F.col("entity_id")).select("link", "side", "cand_id")
+        wanted = ("entity_id", "cand_id", "weight")
+        seeds = (
+            self._partners(self.ranked.where(F.col("offered") <= self.n_seeds), members)
+            .select(*wanted)
+            .unionByName(self._partners(self._crowded(), self.smallest).select(*wanted))
+        )
+        probes = self._best(seeds, self.probes)
+        exact = self._best(self._completed(probes, self.ranked, self.posts), self.k)
+        return exact.where(F.col("rank") == self.k).select(
+            "entity_id", F.col("score").alias("kth_score"), F.col("cand_id").alias("kth_id")
+        )
+
+    def cut(self) -> DataFrame:
+        """``ranked`` with ``head``, and ``settled`` where the smallest ids of the link suffice."""
+        edges = self.smallest.groupBy("link", F.col("side").alias("other")).agg(
+            F.count(F.lit(1)).alias("n_small"), F.max("cand_id").alias("edge")
+        )
+        known = self.ranked.join(self.kth(), "entity_id", "left").join(edges, ["link", "other"], "left")
+        if self.norms is None:
+            bound = scores.from_fixed(F.col("reach"))
+        else:
+            known = known.join(self.norms.select("entity_id", "norm"), "entity_id")
+            bound = F.try_divide(F.col("reach").cast("double"), F.col("norm").cast("double"))
+        few = (F.col("n_other") <= F.col("n_small")) | (F.col("kth_id") <= F.col("edge"))
+        settled = F.coalesce((bound == F.col("kth_score")) & few, F.lit(False))
+        reaches = F.coalesce(bound >= F.col("kth_score"), F.lit(True))
+        return materialize(
+            known.select("entity_id", "link", "other", "weight", "kth_score", "kth_id", (reaches & ~settled).alias("head"), settled.alias("settled")),
+            "cut-posts",
+        )
+
+    def weights(self) -> DataFrame:
+        """``(entity_id, cand_id, weight)`` of all pairs that can enter a list, complete."""
+        cut = self.cut()
+        posts = self.posts.join(cut.select("entity_id", "link", "head"), ["entity_id", "link"], "left")
+        posts = materialize(posts.withColumn("head", F.coalesce("head", F.lit(True))), "posts")
+        first, second = _sides(posts)
+        formed = grid_join(first.where("head"), second).unionByName(grid_join(first.where("NOT head"), second.where("head")))
+        ties = (
+            self._partners(cut.where("settled"), self.smallest)
+            .where(F.col("cand_id") <= F.col("kth_id"))
+            .select("entity_id", "cand_id", F.lit(0).cast(dict(posts.dtypes)["weight"]).alias("weight"))
+        )
+        met = (
+            _both_directions(_weighed(formed, self.combine))
+            .unionByName(ties)
+            .groupBy("entity_id", "cand_id")
+            .agg(_combine(self.combine, "weight").alias("weight"))
+        )
+        tails = (
+            cut.where("NOT head")
+            .groupBy("entity_id")
+            .agg(_combine(self.combine, "weight").alias("tail"), F.max("kth_score").alias("kth_score"), F.max("kth_id").alias("kth_id"))
+        )
+        met = materialize(met.join(tails, "entity_id", "left"), "met-pairs")
+        most = F.greatest("weight", "tail") if self.combine == "max" else F.col("weight") + F.col("tail")
+        hopeful = _scored(met.where("tail IS NOT NULL").withColumn("most", most), self.norms, "most")
+        beaten = (F.col("score") < F.col("kth_score")) | (
+            (F.col("score") == F.col("kth_score")) & (F.col("cand_id") > F.col("kth_id"))
+        )
+        hopeful = materialize(
+            hopeful.where(~F.coalesce(beaten, F.lit(False))).select("entity_id", "cand_id", "weight"), "hopeful-pairs"
+        )
+        tail = self._completed(hopeful, cut.where("NOT head"), posts.where("NOT head"))
+        finished = hopeful.unionByName(tail).groupBy("entity_id", "cand_id").agg(_combine(self.combine, "weight").alias("weight"))
+        return met.where("tail IS NULL").select("entity_id", "cand_id", "weight").unionByName(finished)
 
 
-def shared_top_k(
-    left: DataFrame,
-    right: DataFrame,
-    links: DataFrame,
+def top_partners(
+    posts: DataFrame,
     k: int,
     *,
-    left_links: DataFrame | None = None,
     combine: str = "sum",
     norms: DataFrame | None = None,
-    pair_limit: int = PAIR_LIMIT,
+    effort: int = EFFORT,
+    probes: int = PROBES,
 ) -> DataFrame:
     """Top-K partners of every entity: ``(entity_id, cand_id, score, rank)``.
 
-    left, right -- ``(entity_id, feature)`` of collection 1 and 2
-    links -- ``(f1, f2, weight, n1, n2)``: weight in fixed point and how many
-        entities carry ``f1`` and ``f2``
-    left_links -- ``left`` already joined with ``links``, when that is at hand:
-        ``(entity_id, f2, weight, n1, n2)``
+    posts -- ``(entity_id, link, weight, n1, n2)``, at most one for an entity
+        and link; weight in fixed point.  Read several times
     norms -- optional ``(entity_id, norm)``; scores become weight / (norm + norm)
+    effort, probes -- see EFFORT and PROBES; they change the work, not the result
 
-    One row of counts is read first.  If there are heavy links, the tables that
-    several steps read are written out once.
+    One row of counts is read first.  Sums are 64-bit where the heaviest entity
+    proves that they fit, else decimals of 38 digits.
     """
-    light = _is_light(pair_limit)
-    if left_links is None:
-        left_links = left.withColumnRenamed("feature", "f1").join(links, "f1")
-    reach = left_links.where(light).select(
-        F.col("f2").alias("feature"), F.col("entity_id").alias("d1_id"), "weight"
-    )
-    hot, tasks = _size_up(links, pair_limit)
-    carried = right.select("feature", F.col("entity_id").alias("d2_id"))
-    pairs = (
-        reach.repartition(tasks, "feature")
-        .join(carried.repartition(tasks, "feature"), "feature")
-        .select("d2_id", "d1_id", "weight")
-        # The links of one pair sit in many tasks, so combining before the
-        # shuffle would build large hash tables and merge next to nothing.
-        .repartition("d2_id", "d1_id")
-        .groupBy("d2_id", "d1_id")
-        .agg(_combine(combine, "weight").alias("weight"))
-    )
-    if not hot:
-        directed = _scored(_both_directions(pairs), norms)
-        return keep_top(directed, "entity_id", best_first(), k).select("entity_id", "cand_id", "score", "rank")
-
-    heavy_links = links.where(~light).select("f1", "f2", "weight")
-    weight1 = heavy_links.groupBy(F.col("f1").alias("feature")).agg(_combine(combine, "weight").alias("weight"))
-    weight2 = heavy_links.groupBy(F.col("f2").alias("feature")).agg(_combine(combine, "weight").alias("weight"))
-    normed = norms is not None
-    signed1 = materialize(_signatures(left, weight1.select("feature"), norms), "signatures")
-    signed2 = materialize(_signatures(right, weight2.select("feature"), norms), "signatures")
-    tagged = pairs.join(
-        signed2.select(F.col("entity_id").alias("d2_id"), F.col("sig").alias("sig2")), "d2_id", "left"
-    ).join(signed1.select(F.col("entity_id").alias("d1_id"), F.col("sig").alias("sig1")), "d1_id", "left")
-    tagged = materialize(tagged, "light-pairs")
-
-    kth = keep_top(_scored(_both_directions(tagged), norms), "entity_id", best_first(), k)
-    kth = kth.where(F.col("rank") == k).select("entity_id", F.col("score").alias("kth_score"))
-    kth = materialize(kth, "kth-scores")
-    signed1 = materialize(_close_settled(signed1, weight1, kth, combine, normed), "signatures-open")
-    signed2 = materialize(_close_settled(signed2, weight2, kth, combine, normed), "signatures-open")
-    found = tagged.where("sig1 is not null and sig2 is not null").select("sig1", "sig2").distinct()
-    linked = _linked_signatures(
-        _signature_table(signed1),
-        _signature_table(signed2),
-        heavy_links,
-        found,
-        combine,
-        max(1, int(pair_limit**0.5)),
-    )
-    linked = materialize(linked, "linked-signatures")
-    heavy = F.coalesce("heavy", F.lit(0))
-    both = F.greatest("weight", heavy) if combine == "max" else F.col("weight") + heavy
-    completed = tagged.join(linked, ["sig1", "sig2"], "left").select("d2_id", "d1_id", both.alias("weight"))
-    directed = (
-        _both_directions(completed)
-        .unionByName(_heavy_lists(signed1, signed2, linked, "sig1", "sig2", k, normed))
-        .unionByName(_heavy_lists(signed2, signed1, linked, "sig2", "sig1", k, normed))
-        .groupBy("entity_id", "cand_id")
-        .agg(F.max("weight").alias("weight"))
-    )
-    return keep_top(_scored(directed, norms), "entity_id", best_first(), k).select(
-        "entity_id", "cand_id", "score", "rank"
+    n_other = F.when(ids.is_first(F.col("entity_id")), F.col("n2")).otherwise(F.col("n1"))
+    posts = posts.withColumn("n_other", n_other.cast("double"))
+    wide = F.col("offered") > F.lit(float(effort * k)) * F.col("links")
+    entities = posts.groupBy("entity_id").agg(
+        F.sum("n_other").alias("offered"),
+        F.count(F.lit(1)).alias("links"),
+        F.sum(F.col("weight").cast("double")).alias("mass"),
     )
+    row = entities.agg(F.count_if(wide).alias("wide"), F.max("mass").alias("mass")).first()
+    kind = "bigint" if (row["mass"] or 0.0) < scores.LARGEST_SUM else "decimal(38,0)"
+    posts = posts.withColumn("weight", F.col("weight").cast(kind))
+    if row["wide"]:
+        chosen = materialize(entities.where(wide).select("entity_id"), "wide-entities")
+        weights = _Bounded(posts, chosen, k, combine, norms, probes).weights()
+    else:
+        weights = _both_directions(_weighed(grid_join(*_sides(posts)), combine))
+    best = keep_top(_scored(weights, norms), "entity_id", best_first(), k)
+    return best.select("entity_id", "cand_id", "score", "rank")
+
+
+def link_posts(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
+    """Posts of entities that have features, under the links between features.
+
+    left, right -- ``(entity_id, feature)`` of collection 1 and 2
+    links -- ``(f1, f2, weight, n1, n2)``: weight in fixed point and how many
+        entities carry ``f1`` and ``f2``
+    """
+    named = links.select("f1", "f2", F.struct("f1", "f2").alias("link"), "weight", "n1", "n2")
+    first = left.withColumnRenamed("feature", "f1").join(named, "f1")
+    second = right.withColumnRenamed("feature", "f2").join(named, "f2")
+    columns = ("entity_id", "link", "weight", "n1", "n2")
+    return first.select(*columns).unionByName(second.select(*columns))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import ids, scores
 from linkloom.operators.blocking import side_counts
-from linkloom.operators.shared_top_k import PAIR_LIMIT, shared_top_k
+from linkloom.operators.shared_top_k import EFFORT, PROBES, top_partners
+from linkloom.runtime import materialize
 
 SCHEMES = ("cbs", "arcs", "idf", "wjs")
 
@@ -21,7 +22,7 @@ def _fixed_weight(scheme: str, sized: DataFrame, entity_index: DataFrame | None)
     """``sized`` plus the fixed-point weight of the block."""
     n1, n2 = F.col("n1"), F.col("n2")
     if scheme == "cbs":
-        return sized.withColumn("weight", F.lit(scores.UNIT).cast("bigint"))
+        return sized.withColumn("weight", F.lit(scores.UNIT).cast("decimal(38,0)"))
     if scheme == "arcs":
         return sized.withColumn("weight", scores.to_fixed(scores.arcs_weight(n1, n2)))
     n1_total, n2_total = _totals(sized if entity_index is None else entity_index)
@@ -43,7 +44,7 @@ def entity_weights(sized: DataFrame, entity_index: DataFrame) -> DataFrame:
         entity_index.select("entity_id")
         .distinct()
         .join(summed, "entity_id", "left")
-        .select("entity_id", F.coalesce("norm", F.lit(0)).cast("bigint").alias("norm"))
+        .select("entity_id", F.coalesce("norm", F.lit(0)).cast("decimal(38,0)").alias("norm"))
     )
 
 
@@ -53,7 +54,8 @@ def top_candidates(
     scheme: str = "arcs",
     *,
     entity_index: DataFrame | None = None,
-    pair_limit: int = PAIR_LIMIT,
+    effort: int = EFFORT,
+    probes: int = PROBES,
 ) -> DataFrame:
     """Top-K candidates of every entity of both collections.
 
@@ -62,26 +64,13 @@ def top_candidates(
         summed inverse frequencies, ``wjs`` the latter over the entity weights
     entity_index -- the filtered index; it defines the collection sizes that
         ``idf`` and ``wjs`` use (default: the entities in ``sized``)
+    effort, probes -- as in `top_partners`
     """
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
     weighted = _fixed_weight(scheme, sized, entity_index)
-    first = weighted.where(ids.is_first(F.col("entity_id")))
-    second = weighted.where(ids.is_second(F.col("entity_id")))
-    links = weighted.groupBy(F.col("block_id").alias("f1")).agg(
-        F.any_value("weight").alias("weight"), F.any_value("n1").alias("n1"), F.any_value("n2").alias("n2")
-    )
     norms = None
     if scheme == "wjs":
-        norms = entity_weights(sized, sized if entity_index is None else entity_index)
-    feature = F.col("block_id").alias("feature")
-    left_links = first.select("entity_id", F.col("block_id").alias("f2"), "weight", "n1", "n2")
-    return shared_top_k(
-        first.select("entity_id", feature),
-        second.select("entity_id", feature),
-        links.withColumn("f2", F.col("f1")),
-        k,
-        left_links=left_links,
-        norms=norms,
-        pair_limit=pair_limit,
-    )
+        norms = materialize(entity_weights(sized, sized if entity_index is None else entity_index), "norms")
+    posts = weighted.select("entity_id", F.col("block_id").alias("link"), "weight", "n1", "n2")
+    return top_partners(posts, k, norms=norms, effort=effort, probes=probes)

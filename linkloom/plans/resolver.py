@@ -18,7 +18,7 @@ from linkloom.operators import (
     relations,
     weighting,
 )
-from linkloom.operators.shared_top_k import PAIR_LIMIT
+from linkloom.operators.shared_top_k import EFFORT
 from linkloom.runtime import materialize
 from linkloom.sources import readers
 
@@ -34,7 +34,7 @@ class ResolverConfig:
     min_support: float = relations.MIN_SUPPORT
     keep_low_support: bool = False
     sure_score: float = matching.SURE_SCORE
-    pair_limit: int = PAIR_LIMIT
+    effort: int = EFFORT
     label_attributes1: tuple[str, ...] = ()
     label_attributes2: tuple[str, ...] = ()
     drop_empty_labels: bool = False
@@ -83,7 +83,7 @@ class Resolver:
             self.k,
             scheme,
             entity_index=self.entity_index,
-            pair_limit=self.config.pair_limit,
+            effort=self.config.effort,
         )
 
     @cached_property
@@ -130,7 +130,7 @@ class Resolver:
             self.in_neighbors,
             self.k,
             combine,
-            pair_limit=self.config.pair_limit,
+            effort=self.config.effort,
         )
 
     def label_matches(self) -> DataFrame:

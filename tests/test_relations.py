@@ -105,7 +105,7 @@ def test_empty_labels(kb, spark):
     assert rows(labels.label_blocks(triples, kb["e1"], ["n"], drop_empty=True)) == []
 
 
-@pytest.mark.parametrize("pair_limit", [1000, 0])
+@pytest.mark.parametrize("effort", [1000, 0])
 @pytest.mark.parametrize(
     "combine,expected",
     [
@@ -113,12 +113,12 @@ def test_empty_labels(kb, spark):
         ("max", {(-1, 1): 1.5, (-2, 1): 1.5, (-1, 2): 1.5, (-2, 2): 1.5, (-1, 5): 0.25, (-2, 5): 0.25}),
     ],
 )
-def test_neighbor_similarity(spark, kb, combine, expected, pair_limit):
+def test_neighbor_similarity(spark, kb, combine, expected, effort):
     values = ranked(spark, {-3: [(3, 1.5)], 3: [(-3, 1.5)], 2: [(-3, 0.25)]})
     near = relations.merge_in_neighbors(
         relations.in_neighbors(out(kb, 1)), relations.in_neighbors(out(kb, 2))
     )
-    got = neighbors.top_neighbor_candidates(values, near, 10, combine, pair_limit=pair_limit)
+    got = neighbors.top_neighbor_candidates(values, near, 10, combine, effort=effort)
     found = {(r.entity_id, r.cand_id): r.score for r in got.collect()}
     both = {**expected, **{(b, a): s for (a, b), s in expected.items()}}
     assert found == both

@@ -25,8 +25,8 @@ from workloads import views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# A limit low enough for the test data to have heavy links.
-LOW_PAIR_LIMIT = 400
+# Every entity is bounded, however few pairs it would form.
+BOUNDED = 0
 TOP_L = 5
 
 
@@ -204,13 +204,13 @@ def cnp_arcs_top1(spark, sf):
 
 @query
 def cnp_arcs_heavy(spark, sf):
-    """As `cnp_arcs`, with most blocks treated as heavy."""
-    return views.document_resolver(spark, sf, pair_limit=LOW_PAIR_LIMIT).value_candidates("arcs")
+    """As `cnp_arcs`, with score bounds for every entity."""
+    return views.document_resolver(spark, sf, effort=BOUNDED).value_candidates("arcs")
 
 
 @query
 def cnp_wjs_heavy(spark, sf):
-    return views.star_resolver(spark, sf, pair_limit=LOW_PAIR_LIMIT).value_candidates("wjs")
+    return views.star_resolver(spark, sf, effort=BOUNDED).value_candidates("wjs")
 
 
 # ---- relations and neighbours -------------------------------------------
@@ -286,8 +286,8 @@ def neighbor_max(spark, sf):
 
 @query
 def neighbor_sum_heavy(spark, sf):
-    """As `neighbor_sum`, with the in-neighbours of hubs treated as heavy."""
-    return views.star_resolver(spark, sf, pair_limit=LOW_PAIR_LIMIT).neighbor_candidates(combine="sum")
+    """As `neighbor_sum`, with score bounds for every entity."""
+    return views.star_resolver(spark, sf, effort=BOUNDED).neighbor_candidates(combine="sum")
 
 
 # ---- matching -----------------------------------------------------------
@@ -481,17 +481,13 @@ def true_positive_ids(spark, sf):
 
 @query
 def eval_input_blocks(spark, sf):
-    """All pairs of the unfiltered blocks, counted with most blocks as heavy."""
-    return evaluation.evaluate_blocks(
-        views.document_members(spark, sf), views.document_truth(spark, sf), pair_limit=20_000
-    )
+    """All distinct pairs of the unfiltered blocks."""
+    return evaluation.evaluate_blocks(views.document_members(spark, sf), views.document_truth(spark, sf))
 
 
 @query
 def eval_input_blocks_star(spark, sf):
-    return evaluation.evaluate_blocks(
-        views.star_members(spark, sf), views.star_truth(spark, sf), pair_limit=50_000
-    )
+    return evaluation.evaluate_blocks(views.star_members(spark, sf), views.star_truth(spark, sf))
 
 
 @query
