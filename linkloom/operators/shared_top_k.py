@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from linkloom.functions import ids, scores
 from linkloom.runtime import materialize
 
-#: An entity is bounded if it would form more than EFFORT * k pairs for each of its links.
-EFFORT = 64
+#: An entity is bounded if it would form more than EFFORT * k pairs for each of its links (about where it pays).
+EFFORT = 128
 #: Seeds that are scored exactly, as a multiple of k; four times as many are looked at.
 PROBES = 8
 #: A link is joined in cells of at most about CELL * CELL pairs.
