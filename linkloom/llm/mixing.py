@@ -251,26 +251,31 @@ def in_mixed_order(
     places: tuple[str, str] | None = None,
     **options: object,
 ) -> DataFrame:
-    """All rows of ``docs`` with their columns, range-partitioned in the order of the mix.
+    """All rows of ``docs`` with their columns, laid out in the order of the mix.
 
-    Only ids, marks and sizes are scheduled; the texts move twice, to meet
-    their place and to be laid out.  ``places`` names two more columns to return,
-    slot and source_offset, which keep the order where a table does not.
+    Only ids, marks and sizes are scheduled; a text moves to meet its place and
+    again to be laid out.  With ``places``, the names of two more columns for
+    slot and source_offset (columns of these names are replaced), the order
+    travels in them and the texts move once.
     """
     mixed = mix_units(docs, doc_id=doc_id, text=text, source=source, **options).select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_from"),
-        F.col("mark").alias("_mark"),
-        F.col("slot").alias("_slot"),
-        F.col("source_offset").alias("_start"),
+        F.col("doc_id").alias("of_id"),
+        F.col("source").alias("of_source"),
+        F.col("mark").alias("of_mark"),
+        "slot",
+        "source_offset",
     )
     same = (
-        F.col(doc_id).eqNullSafe(F.col("_id"))
-        & F.col(source).eqNullSafe(F.col("_from"))
-        & (F.col("_text_mark") == F.col("_mark"))
+        F.col("id").eqNullSafe(F.col("of_id"))
+        & F.col("from").eqNullSafe(F.col("of_source"))
+        & (F.col("mark") == F.col("of_mark"))
     )
-    joined = docs.withColumn("_text_mark", mark(text)).join(mixed, same)
+    given = docs.drop(*places) if places else docs
+    joined = given.select(
+        F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("from"), mark(text).alias("mark")
+    ).join(mixed, same)
+    if places:
+        return joined.select("row.*", *(F.col(c).alias(name) for c, name in zip(("slot", "source_offset"), places, strict=True)))
     n = shuffle_partitions(docs.sparkSession)
-    laid_out = joined.repartitionByRange(n, "_slot", "_start").sortWithinPartitions("_slot", "_start")
-    kept = [F.col(c).alias(name) for c, name in zip(("_slot", "_start"), places or (), strict=False)]
-    return laid_out.select(*docs.columns, *kept)
+    laid_out = joined.repartitionByRange(n, "slot", "source_offset").sortWithinPartitions("slot", "source_offset")
+    return laid_out.select("row.*")
