@@ -13,9 +13,10 @@ Jaccard) or the counts of the shingles.
 Texts with equal words fold into one representative first.  In each bucket of
 equal bands the members are compared with the smallest member; what is similar
 enough is linked, so a large group of near copies costs its size, not its
-square.  Only then members that share a bucket and still lie in different
-components are compared one by one: similar texts that miss each other's pivot
-are found as well.  Every comparison is exact, over all shingles.
+square.  Similar texts may miss each other's pivot: members of a bucket that
+still lie in different components are joined on their rarest shingles, of which
+sets that similar must share one, and the pairs found are compared.  Every
+comparison is exact, over all shingles.
 
 Classes are the connected components of the links.  A band of ROWS coordinates
 is equal with probability s**ROWS; with BANDS bands a pair at 0.8 is missed once
@@ -48,6 +49,8 @@ BANDS = 40
 ROWS = 6
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 500_000
+#: Buckets in which the rarity of shingles is counted (a power of two).
+RARITY = 1 << 16
 
 U = np.uint64
 #: Odd multipliers of the mixing function, chosen freely.
@@ -222,6 +225,82 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("common") >= similarity * all_of - 1e-9).select("a", "b")
 
 
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall in each of RARITY buckets, one row for a bucket and task."""
+    total = np.zeros(RARITY, np.int64)
+    for batch in batches:
+        found = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        total += np.bincount((found & U(RARITY - 1)).astype(np.int64), minlength=RARITY)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+
+def rarest(elements: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of the rarest elements, rarest first, that a set this similar must share one of them."""
+    n = len(elements) - math.ceil(similarity * len(elements) - 1e-9) + 1
+    order = np.lexsort((elements, counts[(elements.view(np.uint64) & U(RARITY - 1)).astype(np.int64)]))
+    return elements[order[:n]]
+
+
+def _rarest(counts: np.ndarray, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [s.values.to_numpy(zero_copy_only=False) for s in batch.column("shingles")]
+            sets = [rarest(s, counts, similarity) for s in whole]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("words"),
+                    pa.array(list(map(len, whole)), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                names=["words", "n", "rare"],
+            )
+
+    return listed
+
+
+def _rare_pairs(open_texts: DataFrame, written_sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a < b) of ``open_texts`` (words, label) of different labels that share rare shingles.
+
+    In any order of the shingles that is the same for all, sets that reach the
+    similarity share one of the first ``n - ceil(similarity * n) + 1`` of either;
+    the smaller set even has it in its first ``n - ceil(least * n) + 1`` with
+    ``least = 2 * similarity / (1 + similarity)``, and the places leave room for
+    all they must share.  The order here is by how often the shingles of its
+    bucket occur.  Texts that share a common passage and little else, or not
+    quite enough, do not meet, however many there are.
+    """
+    counts = np.zeros(RARITY, np.int64)
+    by_task = written_sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long")
+    for row in by_task.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most RARITY rows
+        counts[row["bucket"]] = row["n"]
+    rare = written_sets.select("words", "shingles").mapInArrow(
+        _rarest(counts, similarity), "words binary, n long, rare array<long>"
+    )
+    keyed = open_texts.select("words", "label").join(rare.dropDuplicates(["words"]), "words")
+    keyed = materialize(keyed.select("words", "label", "n", F.posexplode("rare").alias("at", "rare")), "rare-shingles")
+    # a shingle of one text, or of one component, makes no pair
+    several = keyed.groupBy("rare").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    keyed = keyed.join(several.select("rare"), "rare", "left_semi")
+    least = 2 * similarity / (1 + similarity)
+    head = F.col("at") < F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+
+    def of(side: str, rows: DataFrame) -> DataFrame:
+        return rows.select("rare", *(F.col(c).alias(f"{c}_{side}") for c in ("words", "label", "n", "at")))
+
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = room >= F.lit(least / 2) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    sized = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= F.lit(similarity) * F.col("n_b") - 1e-9)
+    met = of("a", keyed.filter(head)).join(of("b", keyed), "rare").filter(
+        (F.col("label_a") != F.col("label_b")) & sized & enough
+    )
+    return met.select(
+        F.least("words_a", "words_b").alias("a"), F.greatest("words_a", "words_b").alias("b")
+    ).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     *,
@@ -270,37 +349,30 @@ def near_groups(
         .join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
         .select(F.col("_row").alias("row"), "text")
     )
-    sets = materialize(
+    written_sets = materialize(
         found.mapInArrow(_with_shingles(width, counted), "row long, words binary, shingles array<long>"),
         "shingle-sets",
-    ).dropDuplicates(["words"])
+    )
+    sets = written_sets.dropDuplicates(["words"])
     links = materialize(_linked(stars, sets, similarity), "star-links")
     labels = components(links)
     # members of one bucket that the stars left apart
     placed = (
         shared.join(labels.withColumnRenamed("node", "words"), "words", "left")
         .withColumn("label", F.coalesce("label", "words"))
-        .select("bucket", "words", "size", "label")
+        .select("bucket", "words", "label")
     )
     apart = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    open_members = materialize(placed.join(apart.select("bucket"), "bucket", "left_semi"), "open-buckets")
-    one = open_members.select("bucket", F.col("words").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    two = open_members.select("bucket", F.col("words").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    near_in_size = F.lit(True) if counted else (
-        (F.col("size_a") >= similarity * F.col("size_b") - 1e-9)
-        & (F.col("size_b") >= similarity * F.col("size_a") - 1e-9)
-    )
-    rest = (
-        one.join(two, "bucket")
-        .filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near_in_size)
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    open_texts = materialize(
+        placed.join(apart.select("bucket"), "bucket", "left_semi").select("words", "label").distinct(),
+        "open-texts",
     )
-    more = materialize(_linked(rest, sets, similarity), "other-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+    if not open_texts.isEmpty():
+        rest = _rare_pairs(open_texts, written_sets, similarity).join(stars, ["a", "b"], "left_anti")
+        more = materialize(_linked(rest, sets, similarity), "other-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     return _classes(signed.select("row", "doc_id", "mark", "words"), links, labels)
 
 
