@@ -22,6 +22,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -47,10 +48,11 @@ LONG_RUN = re.compile(r"\S{20000}|\s{20000}")
 
 @lru_cache(maxsize=2)
 def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
-    """Text to ids, special strings being ordinary text.
+    """Text to the ids of the tokenizer file, without added special tokens.
 
     The rank file of the same vocabulary gives the same ids several times
-    faster; texts with extreme runs go to the reference file.
+    faster; texts with extreme runs or with a literal of one of the added
+    tokens of the tokenizer file go to that file itself.
     """
     import public_tokenizers as files
     import tiktoken
@@ -59,16 +61,17 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
     with open(files.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(files.path(f"{name}.json"), encoding="utf-8") as given:
+        added = [token["content"] for token in json.load(given)["added_tokens"]]
     slow: list[object] = []
 
     def encode(text: str) -> list[int]:
-        if len(text) < 20_000 or not LONG_RUN.search(text):
+        if (len(text) < 20_000 or not LONG_RUN.search(text)) and not any(token in text for token in added):
             return fast.encode_ordinary(text)
         if not slow:
             from tokenizers import Tokenizer
 
             slow.append(Tokenizer.from_file(files.path(f"{name}.json")))
-            slow[0].encode_special_tokens = True
         return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
