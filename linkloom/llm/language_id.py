@@ -16,18 +16,18 @@ limit: the lowest score from which on the held-back rows are right with
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is everything when no row can be learned from; rows with a null language are
-not learned; repeated rows are predicted one by one; an empty table gives an
+not learned; null and repeated ids are drawn by their texts; repeated rows are predicted one by one; an empty table gives an
 empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +43,15 @@ RATE = 2.0
 PRECISION = 0.99
 SPAN = 60
 
-NO_LETTER = re.compile(r"[\W\d_]+")
+#: What parts words: all but letters and the marks on them.
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def subwords(text: str | None) -> np.ndarray:
     """Counts by bucket of the subwords of a text (all zero: no letter)."""
     clean = NO_LETTER.sub(" ", (text or "").lower()).strip()
-    if not clean:
+    if not LETTER.search(clean):
         return np.zeros(BUCKETS, np.float32)
     points = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = points == 32
@@ -183,7 +185,7 @@ def fit(
     labelled = docs.select(
         F.col(text).alias("text"),
         F.col(lang).cast("string").alias("lang"),
-        F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(11)), F.lit(1 << 30)).alias("draw"),
+        F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text), F.lit(11)), F.lit(1 << 30)).alias("draw"),
     ).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
     drawn = (
