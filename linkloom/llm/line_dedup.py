@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.shared import SPACE
+from linkloom.llm.shared import SPACE, free_name
 from linkloom.runtime import materialize
 
 SIMILARITY = 0.8
@@ -216,18 +216,21 @@ def remove_repeated_lines(
 
     The input is written first, so that its rows keep their numbers.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "line-documents")
+    row = free_name(docs.columns, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "line-documents")
     # ties of equal ids are told apart by the number, as id and number together are the id here
-    ids = numbered.select(F.struct(F.col(doc_id).isNull().alias("no_id"), doc_id, "_row").alias("doc_id"), F.col(text).alias("text"))
-    gone = (
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
+    ids = numbered.select(key.alias("doc_id"), F.col(text).alias("text"))
+    gone = free_name(docs.columns, "gone")
+    lost = (
         line_matches(ids, similarity=similarity)
         .filter("removed")
-        .groupBy(F.col("doc_id._row").alias("_row"))
-        .agg(F.collect_list("line").alias("_gone"))
+        .groupBy(F.col("doc_id.row").alias(row))
+        .agg(F.collect_list("line").alias(gone))
     )
-    left = F.array_join(F.filter(_lines(F.col(text)), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    left = F.array_join(F.filter(_lines(F.col(text)), lambda _, i: ~F.array_contains(gone, i)), "\n")
     return (
-        numbered.join(gone, "_row", "left")
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
+        numbered.join(lost, row, "left")
+        .withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(left))
         .select(*docs.columns)
     )

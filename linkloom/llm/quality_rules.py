@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.llm.shared import free_name
 from linkloom.runtime import materialize
 
 WINDOW = 8
@@ -92,7 +93,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _failing(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _failing(text_at: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the verdict of the base rules to whole rows."""
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,7 @@ def _failing(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 words = (text.as_py() or "").encode().split()
                 failed.append(len(words) < MIN_WORDS or 100 * repeated_words(words) > 30 * len(words))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(failed, pa.bool_())], names=[*batch.schema.names, "_failed"]
+                [*batch.columns, pa.array(failed, pa.bool_())], names=[*batch.schema.names, name]
             )
 
     return judged
@@ -220,6 +221,8 @@ def keep_good_documents(
     """
     measured = _measures(docs.select(F.lit(0).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text")))
     bad = materialize(_bad_hosts(measured, host_limit), "bad-hosts")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_failed", T.BooleanType())])
-    judged = docs.mapInArrow(_failing(docs.columns.index(text)), schema).filter("NOT _failed").drop("_failed")
-    return judged.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left_anti")
+    failed, rejected = free_name(docs.columns, "failed"), free_name(docs.columns, "rejected")
+    schema = T.StructType([*docs.schema.fields, T.StructField(failed, T.BooleanType())])
+    judged = docs.mapInArrow(_failing(docs.columns.index(text), failed), schema).filter(~F.col(failed)).drop(failed)
+    bad = bad.withColumnRenamed("_host", rejected)
+    return judged.join(bad, F.col(host).eqNullSafe(F.col(rejected)), "left_anti")

@@ -105,20 +105,29 @@ def keep_decided(docs: DataFrame, decisions: DataFrame, *, doc_id: str, text: st
 
     Rows are matched by id and mark of the text, so ids may be null or repeated;
     of rows that agree in both, as many stay as decisions keep.
-    The texts move once; the decisions are small rows.
+    The texts move once; the decisions are small rows.  The columns of ``docs``
+    travel in one struct, so that they may have any names.
     """
     by_row = materialize(
-        decisions.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-        .agg(F.count_if("kept").alias("_stay"), F.count("*").alias("_n"))
-        .filter("_stay < _n"),
+        decisions.groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
+        .agg(F.count_if("kept").alias("stay"), F.count("*").alias("n"))
+        .filter("stay < n"),
         "decisions",
     )
-    marked = docs.withColumn("_text_mark", mark(text))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark"))
-    left = marked.join(by_row.filter("_stay = 0"), same, "left_anti")
-    again = by_row.filter("_stay > 0")
+    given = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), mark(text).alias("mark"))
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
+    left = given.join(by_row.filter("stay = 0"), same, "left_anti").select("row", "id", "mark")
+    again = by_row.filter("stay > 0")
     if not again.isEmpty():
-        first = Window.partitionBy(doc_id, "_text_mark").orderBy(F.lit(0))
-        some = left.join(again, same).withColumn("_nth", F.row_number().over(first)).filter("_nth <= _stay")
-        left = left.join(again, same, "left_anti").unionByName(some.select(*left.columns))
-    return left.drop("_text_mark")
+        first = Window.partitionBy("id", "mark").orderBy(F.lit(0))
+        some = left.join(again, same).withColumn("nth", F.row_number().over(first)).filter("nth <= stay")
+        left = left.join(again, same, "left_anti").unionByName(some.select("row", "id", "mark"))
+    return left.select("row.*")
+
+
+def free_name(taken: Sequence[str], wish: str) -> str:
+    """``wish``, or it with underscores where a column has that name."""
+    known = {name.lower() for name in taken}
+    while wish.lower() in known:
+        wish += "_"
+    return wish
