@@ -282,7 +282,7 @@ ORACLE["parse_triples"] = " UNION ALL ".join(
     for kb in (1, 2)
 )
 ORACLE["ground_truth"] = "SELECT d2_id, d1_id FROM star_truth"
-ORACLE["ground_truth_ids"] = "SELECT -(o_orderkey * 5 + 4) AS d2_id, o_orderkey * 5 + 3 AS d1_id FROM orders"
+ORACLE["ground_truth_ids"] = "SELECT -(o_orderkey * 5 + 4) AS d2_id, o_custkey * 5 + 1 AS d1_id FROM orders"
 ORACLE["assign_entity_ids"] = """SELECT '<http://kb1/customer/' || o_custkey || '>' AS uri,
     row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS entity_id FROM orders GROUP BY o_custkey"""
 _encoded = "replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
@@ -321,16 +321,23 @@ ORACLE["cnp_arcs_heavy"] = ORACLE["cnp_arcs"]
 ORACLE["cnp_wjs_heavy"] = "SELECT * FROM star_wjs"
 
 ORACLE["relation_index"] = "SELECT * FROM relidx1 UNION ALL SELECT * FROM relidx2"
-ORACLE["relation_support"] = "SELECT p, support FROM relstats1"
-ORACLE["relation_discriminability"] = "SELECT p, discriminability FROM relstats1"
-ORACLE["relation_rank"] = "SELECT * FROM relrank2"
-ORACLE["top_out_neighbors"] = "SELECT entity_id, out_id FROM out1_2"
+
+
+def of_both(sql: str) -> str:
+    """``sql`` about collection {c}, for either, told apart by ``collection``."""
+    return " UNION ALL ".join(f"SELECT *, {c} AS collection FROM ({sql.replace('{c}', str(c))})" for c in (1, 2))
+
+
+ORACLE["relation_support"] = of_both("SELECT p, support FROM relstats{c}")
+ORACLE["relation_discriminability"] = of_both("SELECT p, discriminability FROM relstats{c}")
+ORACLE["relation_rank"] = of_both("SELECT * FROM relrank{c}")
+ORACLE["top_out_neighbors"] = of_both("SELECT entity_id, out_id FROM out{c}_2")
 ORACLE["in_neighbors"] = "SELECT entity_id, in_id FROM inn"
-ORACLE["label_attributes"] = """SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, p) AS INT) AS "rank" FROM (
+ORACLE["label_attributes"] = of_both("""SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, p) AS INT) AS "rank" FROM (
     SELECT p, support, discriminability, 2.0 * support * discriminability / (support + discriminability) AS score FROM (
       SELECT p, CAST(n AS DOUBLE) / max(n) OVER () AS support, CAST(d AS DOUBLE) / n AS discriminability FROM (
-        SELECT p, count(*) AS n, count(DISTINCT o) AS d FROM lab_resolved1 GROUP BY p
-        HAVING count(o_id) <= count(*) - count(o_id))))) WHERE "rank" <= 3"""
+        SELECT p, count(*) AS n, count(DISTINCT o) AS d FROM lab_resolved{c} GROUP BY p
+        HAVING count(o_id) <= count(*) - count(o_id))))) WHERE "rank" <= 3""")
 ORACLE["neighbor_pairs"] = f"""SELECT d2_id, d1_id, sim, n1, n2 FROM (
     SELECT least(entity_id, cand_id) AS d2_id, greatest(entity_id, cand_id) AS d1_id, {unfixed(f"sum({fixed('score')})")} AS sim
     FROM star_arcs GROUP BY 1, 2)

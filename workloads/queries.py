@@ -64,10 +64,12 @@ def ground_truth(spark, sf):
 
 @query
 def ground_truth_ids(spark, sf):
-    own = views.table(spark, sf, "orders").select(
-        F.concat_ws("\t", views.file_id("order").cast("string"), views.file_id("order").cast("string")).alias("value")
+    """Customers of collection 1 with their orders of collection 2: the ids of a line differ."""
+    customer = F.col("o_custkey").cast("bigint") * len(views.KINDS) + views.KINDS["customer"]
+    pairs = views.table(spark, sf, "orders").select(
+        F.concat_ws("\t", customer.cast("string"), views.file_id("order").cast("string")).alias("value")
     )
-    return readers.parse_ground_truth_ids(own)
+    return readers.parse_ground_truth_ids(views.written(pairs, "truth-ids"))
 
 
 @query
@@ -233,27 +235,36 @@ def relation_index(spark, sf):
     return _relation_index(spark, sf, 1).unionByName(_relation_index(spark, sf, 2))
 
 
+def _of_both(report: Callable[[int], DataFrame]) -> DataFrame:
+    """The report of either collection, told apart by ``collection``."""
+    first, second = (report(c).withColumn("collection", F.lit(c)) for c in (1, 2))
+    return first.unionByName(second)
+
+
 @query
 def relation_support(spark, sf):
-    return relations.relation_stats(_relation_index(spark, sf, 1)).select("p", "support")
+    return _of_both(lambda c: relations.relation_stats(_relation_index(spark, sf, c)).select("p", "support"))
 
 
 @query
 def relation_discriminability(spark, sf):
-    return relations.relation_stats(_relation_index(spark, sf, 1)).select("p", "discriminability")
+    return _of_both(lambda c: relations.relation_stats(_relation_index(spark, sf, c)).select("p", "discriminability"))
 
 
 @query
 def relation_rank(spark, sf):
-    return relations.relation_rank(relations.relation_stats(_relation_index(spark, sf, 2)))
+    return _of_both(lambda c: relations.relation_rank(relations.relation_stats(_relation_index(spark, sf, c))))
 
 
 @query
 def top_out_neighbors(spark, sf):
-    resolved = _resolved(spark, sf, 1)
-    return relations.top_out_neighbors(
-        resolved.where("o_id is not null"), relations.predicate_stats(resolved), 2
-    )
+    def top(collection: int) -> DataFrame:
+        resolved = _resolved(spark, sf, collection)
+        return relations.top_out_neighbors(
+            resolved.where("o_id is not null"), relations.predicate_stats(resolved), 2
+        )
+
+    return _of_both(top)
 
 
 @query
@@ -263,7 +274,7 @@ def in_neighbors(spark, sf):
 
 @query
 def label_attributes(spark, sf):
-    return relations.label_attributes(_resolved(spark, sf, 1, view="labels"))
+    return _of_both(lambda c: relations.label_attributes(_resolved(spark, sf, c, view="labels")))
 
 
 @query
