@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import ids, scores
 from linkloom.operators.blocking import with_sizes
+from linkloom.operators.rank_aggregation import SOURCES
 from linkloom.operators.shared_top_k import in_cells
 from linkloom.runtime import materialize
 
@@ -44,41 +47,57 @@ def evaluate_matches(matches: DataFrame, truth: DataFrame, truth_only: bool = Fa
     return with_quality(counts)
 
 
-def _judged(candidates: DataFrame, truth: DataFrame, how: str) -> DataFrame:
-    known = truth.select("d2_id", F.col("d1_id").alias("correct"))
-    return candidates.join(known, "d2_id", how)
-
-
-def evaluate_candidates(candidates: DataFrame, truth: DataFrame, truth_only: bool = False) -> DataFrame:
-    """One quality row for distinct candidate pairs ``(d2_id, d1_id)``.
+def _judged_entities(candidates: DataFrame, truth: DataFrame, *carried: str) -> DataFrame:
+    """``(d2_id, listed, hit, known)``: the length of each list, and whether it has the match.
 
-    A hit is one true positive and makes the rest of the list false positives.
+    Lists and truth are counted together, pair by pair and then by entity, so
+    that no list meets the truth as a whole: one of very many candidates is
+    added up where it lies.  Columns in ``carried`` give the values of the hit.
     """
-    judged = _judged(candidates, truth, "right" if truth_only else "full_outer")
-    per_entity = judged.groupBy("d2_id").agg(
-        F.count("d1_id").alias("listed"),
-        _count(F.col("d1_id") == F.col("correct")).alias("hit"),
-        F.count("correct").alias("known"),
+    mine = candidates.select("d2_id", "d1_id", *carried, F.lit(1).alias("listed"), F.lit(0).alias("known"))
+    nothing = [F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in carried]
+    right = truth.select("d2_id", "d1_id", *nothing, F.lit(0).alias("listed"), F.lit(1).alias("known"))
+    pairs = (
+        mine.unionByName(right)
+        .groupBy("d2_id", "d1_id")
+        .agg(F.max("listed").alias("listed"), F.max("known").alias("known"), *[F.max(c).alias(c) for c in carried])
     )
-    counts = per_entity.agg(
+    hit = (F.col("listed") == 1) & (F.col("known") == 1)
+    return pairs.groupBy("d2_id").agg(
+        F.sum("listed").alias("listed"),
+        F.count_if(hit).alias("hit"),
+        F.sum("known").alias("known"),
+        *[F.max(F.when(hit, F.col(c))).alias(c) for c in carried],
+    )
+
+
+def _totals() -> list[Column]:
+    return [
         F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.col("listed") - F.col("hit")), F.lit(0)).alias("fp"),
         _count((F.col("known") > 0) & (F.col("hit") == 0)).alias("fn"),
-    )
-    return with_quality(counts)
+    ]
+
+
+def evaluate_candidates(candidates: DataFrame, truth: DataFrame, truth_only: bool = False) -> DataFrame:
+    """One quality row for candidate pairs ``(d2_id, d1_id)``; a repeated pair counts once.
+
+    A hit is one true positive and makes the rest of the list false positives.
+    """
+    judged = _judged_entities(candidates, truth)
+    if truth_only:
+        judged = judged.where("known > 0")
+    return with_quality(judged.agg(*_totals()))
 
 
 def missed_matches(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """Ground-truth pairs that were not found: ``(d2_id, correct, n_candidates)``."""
-    judged = _judged(candidates, truth, "right")
+    sizes = candidates.groupBy("d2_id").agg(F.count("d1_id").alias("n_candidates"))
     return (
-        judged.groupBy("d2_id", "correct")
-        .agg(
-            F.count("d1_id").alias("n_candidates"),
-            _count(F.col("d1_id") == F.col("correct")).alias("hit"),
-        )
-        .where("hit = 0")
-        .drop("hit")
+        truth.select("d2_id", "d1_id")
+        .join(candidates, ["d2_id", "d1_id"], "left_anti")
+        .join(sizes, "d2_id", "left")
+        .select("d2_id", F.col("d1_id").alias("correct"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
     )
 
 
@@ -88,6 +107,23 @@ def true_positives_by_source(candidates: DataFrame, truth: DataFrame) -> DataFra
     return hits.groupBy("source").agg(F.count(F.lit(1)).alias("tp"))
 
 
+def evaluate_by_source(candidates: DataFrame, truth: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
+    """``(source, source_tp, tp, fp, fn, precision, recall, f1)`` for ``(d2_id, d1_id, source)``.
+
+    One row for each of ``sources``, also for those without a hit: the matches
+    found through it, beside the totals of all lists.  Both come from one pass
+    over the lists; the totals are sums over one row per source.
+    """
+    by_source = materialize(
+        _judged_entities(candidates, truth, "source").groupBy("source").agg(*_totals()), "quality-by-source"
+    )
+    summed = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]
+    found = by_source.select("source", F.col("tp").alias("source_tp"))
+    names = by_source.agg(*summed).select(F.explode(F.array(*map(F.lit, sources))).alias("source"), "tp", "fp", "fn")
+    source_tp = F.coalesce("source_tp", F.lit(0)).alias("source_tp")
+    return with_quality(names.join(found, "source", "left").select("source", source_tp, "tp", "fp", "fn"))
+
+
 def true_positive_ids(candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """Distinct ``d2_id`` whose candidates include the match."""
     return candidates.join(truth, ["d2_id", "d1_id"], "left_semi").select("d2_id").distinct()

@@ -16,6 +16,7 @@ NEIGHBORS = "NEIGHBORS"
 BOTH = "BOTH"
 VALUES_ONLY_LIST = "VALUES_WITH_EMPTY_NEIGHBORS"
 NEIGHBORS_ONLY_LIST = "NEIGHBORS_WITH_EMPTY_VALUES"
+SOURCES = (VALUES, NEIGHBORS, BOTH, VALUES_ONLY_LIST, NEIGHBORS_ONLY_LIST)
 
 
 def _merged(value_candidates: DataFrame, neighbor_candidates: DataFrame) -> DataFrame:

@@ -91,7 +91,9 @@ def top_out_neighbors(
 
     An object reached by several relations counts for the best of them.
     ``keep_low_support`` ranks relations under the threshold first instead of
-    leaving them out.
+    leaving them out.  Only the distinct relations of a subject are ranked, at
+    most one row per predicate; its objects, however many, stay spread and are
+    checked against them.
     """
     enough = F.col("support") > min_support
     if keep_low_support:
@@ -106,11 +108,11 @@ def top_out_neighbors(
             "p", F.struct((-F.col("score")).alias("key"), F.col("p").alias("name")).alias("standing")
         )
     best = index.join(order, "p").groupBy("s_id", "o_id").agg(F.min("standing").alias("standing"))
-    window = Window.partitionBy("s_id").orderBy("standing")
-    return (
-        best.withColumn("standing_rank", F.dense_rank().over(window))
-        .where(F.col("standing_rank") <= n)
-        .select(F.col("s_id").alias("entity_id"), F.col("o_id").alias("out_id"))
+    relations = best.groupBy("s_id", "standing").agg(F.count(F.lit(1)).alias("n_objects"))
+    by_standing = Window.partitionBy("s_id").orderBy("standing")
+    kept = relations.withColumn("place", F.row_number().over(by_standing)).where(F.col("place") <= n)
+    return best.join(kept.select("s_id", "standing"), ["s_id", "standing"], "left_semi").select(
+        F.col("s_id").alias("entity_id"), F.col("o_id").alias("out_id")
     )
 
 

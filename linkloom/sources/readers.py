@@ -21,16 +21,6 @@ def triple_separator(path: str) -> str:
     return "\t" if path.endswith(".tsv") else " "
 
 
-def truth_separator(path: str) -> str:
-    """The separator of a ground-truth file, by the data set its path names."""
-    # Path parts and separators of the published data sets.
-    if "music" in path:
-        return " "
-    if "estaurant" in path or "Rexa_DBLP" in path:
-        return "\t"
-    return ","
-
-
 def parse_blocks(lines: DataFrame) -> DataFrame:
     """``(block_id, entity_id)`` from ``blockId TAB id#id#...;id#id#...``.
 
@@ -105,11 +95,11 @@ def parse_ground_truth(
 ) -> DataFrame:
     """``(d2_id, d1_id)`` from lines ``uri1 SEP uri2``.
 
-    Pairs with an unknown URI are dropped, and so are collection-2 entities
-    with more than one partner.
+    Pairs with an unknown URI and lines of one field are dropped, and so are
+    collection-2 entities with more than one partner.
     """
     parts = F.split(F.lower(F.col(VALUE)), re.escape(separator))
-    left, right = parts[0], parts[1]
+    left, right = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     pairs = lines.select(
         (text.uri_encode(left, uri_prefix) if encode_left else left).alias("uri1"),
         (text.uri_encode(right, uri_prefix) if encode_right else right).alias("uri2"),
@@ -147,12 +137,32 @@ def parse_matches(lines: DataFrame) -> DataFrame:
 
 
 def with_positions(lines: DataFrame) -> DataFrame:
-    """Number the lines of a file in reading order; the numbers have gaps."""
+    """Number the lines of one file in reading order; the numbers have gaps.
+
+    Spark packs several files into tasks by size; `read_placed_lines` keeps their order.
+    """
     return lines.withColumn("position", F.monotonically_increasing_id())
 
 
+def read_placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, file, start, line)``: lines of all files under ``path`` with their place.
+
+    Ordered by ``file``, ``start`` (where the split begins in its file) and
+    ``line`` (rising within a split) the lines stand as in the files taken by
+    name, however Spark deals files and splits to tasks.
+    """
+    return spark.read.text(path).select(
+        VALUE,
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 # Positions of one input split share their upper bits.
 SPLIT_RANGE = 2**33
+# Lines of a split that are numbered in one sorted run.
+LINE_RANGE = 2**20
 
 
 def first_appearance(statements: DataFrame) -> DataFrame:
@@ -160,20 +170,77 @@ def first_appearance(statements: DataFrame) -> DataFrame:
     return statements.groupBy(F.col("s").alias("uri")).agg(F.min("position").alias("position"))
 
 
+def _numbered(placed: DataFrame, part: list[str], within: list[str]) -> DataFrame:
+    """``(uri, entity_id)``: rows numbered 0, 1, 2, ... by part, then within it.
+
+    Every part starts after the rows of the parts before it, so no task sees
+    all rows; only one count per part meets in one place.
+    """
+    counts = placed.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_id"))
+    inside = Window.partitionBy(*part).orderBy(*within, "uri")
+    return (
+        placed.withColumn("place", F.row_number().over(inside) - 1)
+        .join(starts, part)
+        .select("uri", (F.col("first_id") + F.col("place")).cast("bigint").alias("entity_id"))
+    )
+
+
 def assign_entity_ids(statements: DataFrame, range_size: int = SPLIT_RANGE) -> DataFrame:
-    """``(uri, entity_id)``: subjects numbered 0, 1, 2, ... by first appearance.
+    """``(uri, entity_id)``: subjects of ``(s, position)`` numbered 0, 1, 2, ... by first appearance.
 
-    Subjects are numbered within ranges of positions, and every range starts
-    after the subjects of the ranges before it, so no task sees them all; only
-    one count per range meets in one place.
+    Subjects are numbered within ranges of positions.
     """
     placed = first_appearance(statements).withColumn("part", F.expr(f"position div {range_size}"))
-    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("part").orderBy("position", "uri")
+    return _numbered(placed, ["part"], ["position"])
+
+
+def number_subjects(
+    placed_lines: DataFrame,
+    separator: str = " ",
+    as_written: bool = False,
+    uri_prefix: str = text.URI_PREFIX,
+) -> DataFrame:
+    """``(uri, entity_id)``: subjects of triple files numbered by first appearance.
+
+    ``placed_lines`` come from `read_placed_lines`.  Subjects are lower-cased
+    and URI-encoded unless ``as_written``.  The order of the ids is the list of
+    distinct subjects in file order.
+    """
+    split_at = re.escape(separator)
+    if as_written:
+        subject = F.split(F.col(VALUE), split_at, 2)[0]
+    else:
+        subject = text.uri_encode(F.split(F.lower(F.col(VALUE)), split_at, 2)[0], uri_prefix)
+    placed = (
+        placed_lines.select(subject.alias("uri"), F.struct("file", "start", "line").alias("place"))
+        .groupBy("uri")
+        .agg(F.min("place").alias("place"))
+        .select("uri", "place.*")
+        .withColumn("run", F.expr(f"line div {LINE_RANGE}"))
+    )
+    return _numbered(placed, ["file", "start", "run"], ["line"])
+
+
+def parse_ground_truth_by_subjects(
+    lines: DataFrame, subjects1: DataFrame, subjects2: DataFrame, separator: str = ","
+) -> DataFrame:
+    """``(d2_id, d1_id)`` from lines ``uri1 SEP uri2`` and subjects numbered in triple files.
+
+    ``subjects1`` and ``subjects2`` come from `number_subjects` with
+    ``as_written``: no file of ids is needed.  This older form of ids gives
+    number ``i`` of collection 2 the id ``-i``, keeps every line, and writes an
+    unknown or missing URI as -1 on either side; `parse_ground_truth` filters
+    such pairs.
+    """
+    parts = F.split(F.col(VALUE), re.escape(separator))
+    pairs = lines.select(F.get(parts, F.lit(0)).alias("uri1"), F.get(parts, F.lit(1)).alias("uri2"))
+    known1 = subjects1.select(F.col("uri").alias("uri1"), F.col("entity_id").alias("d1_id"))
+    known2 = subjects2.select(F.col("uri").alias("uri2"), (-F.col("entity_id")).alias("d2_id"))
+    unknown = F.lit(-1).cast("bigint")
     return (
-        placed.withColumn("place", F.row_number().over(within) - 1)
-        .join(starts, "part")
-        .select("uri", (F.col("start") + F.col("place")).cast("bigint").alias("entity_id"))
+        pairs.join(known1, "uri1", "left")
+        .join(known2, "uri2", "left")
+        .select(F.coalesce("d2_id", unknown).alias("d2_id"), F.coalesce("d1_id", unknown).alias("d1_id"))
     )

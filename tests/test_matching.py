@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,8 +73,6 @@ def reference_top1(v, n):
 
 
 def test_borda_top1_rule_on_random_lists(spark):
-    import random
-
     rng = random.Random(5)
     values, near = {}, {}
     for e in range(60):
@@ -137,3 +137,47 @@ def test_symmetric_lists_sides_and_contributions(spark):
     values, near = pairs(spark, [(-1, 3), (-2, 9)]), pairs(spark, [(-1, 3), (-2, 5)])
     got = evaluation.contributions(values, near, truth).first()
     assert tuple(got) == (1, 2, 2, 1, 1.0)
+
+
+def test_quality_by_source(spark):
+    cands = spark.createDataFrame(
+        [(-1, 1, "BOTH"), (-1, 5, "VALUES"), (-2, 3, "VALUES"), (-4, 9, "NEIGHBORS"), (-5, 2, "VALUES"), (-5, 3, "BOTH")],
+        "d2_id bigint, d1_id bigint, source string",
+    )
+    truth = pairs(spark, [(-1, 1), (-2, 2), (-3, 3), (-5, 2)])
+    got = {r.source: tuple(r)[1:] for r in evaluation.evaluate_by_source(cands, truth).collect()}
+    totals = (2, 4, 2, pytest.approx(1 / 3), 0.5, pytest.approx(0.4))
+    assert got == {
+        s: (n, *totals)
+        for s, n in [
+            ("VALUES", 1), ("BOTH", 1), ("NEIGHBORS", 0),
+            ("VALUES_WITH_EMPTY_NEIGHBORS", 0), ("NEIGHBORS_WITH_EMPTY_VALUES", 0),
+        ]
+    }
+    assert quality(evaluation.evaluate_candidates(cands, truth)) == totals
+    nothing = evaluation.evaluate_by_source(cands.where("false"), truth).collect()
+    assert {tuple(r)[1:5] for r in nothing} == {(0, 0, 0, 4)} and len(nothing) == 5
+
+
+def test_a_very_long_candidate_list(spark):
+    long = spark.range(1_000_000).selectExpr("-7L AS d2_id", "id AS d1_id")
+    cands = long.unionByName(pairs(spark, [(-1, 1), (-2, 4)]))
+    truth = pairs(spark, [(-7, 999_999), (-1, 1), (-2, 3)])
+    assert quality(evaluation.evaluate_candidates(cands, truth))[:3] == (2, 1_000_000, 1)
+    assert rows(evaluation.missed_matches(cands, truth)) == [(-2, 3, 1)]
+
+
+def test_candidate_evaluation_against_a_plain_one(spark):
+    rng = random.Random(8)
+    lists = {-e: set(rng.sample(range(20), rng.randint(0, 6))) for e in range(1, 60)}
+    correct = {-e: rng.randrange(20) for e in range(30, 90)}
+    cands = pairs(spark, [(e, c) for e, l in lists.items() for c in l])
+    truth = pairs(spark, list(correct.items()))
+    hit = {e for e, c in correct.items() if c in lists.get(e, ())}
+    for only in (False, True):
+        judged = sum(len(l) for e, l in lists.items() if e in correct or not only)
+        got = quality(evaluation.evaluate_candidates(cands, truth, truth_only=only))[:3]
+        assert got == (len(hit), judged - len(hit), len(correct) - len(hit))
+    assert rows(evaluation.missed_matches(cands, truth)) == sorted(
+        (e, c, len(lists.get(e, ()))) for e, c in correct.items() if e not in hit
+    )

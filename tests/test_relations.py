@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from linkloom.operators import labels, neighbors, relations
@@ -132,3 +134,29 @@ def test_neighbor_similarity(spark, kb, combine, expected, effort):
 def test_neighbor_combine_is_checked(spark, kb):
     with pytest.raises(ValueError):
         neighbors.top_neighbor_candidates(ranked(spark, {1: [(-1, 1)]}), relations.in_neighbors(out(kb, 1)), 1, "avg")
+
+
+def plain_out_neighbors(index, standing, n):
+    best = {}
+    for p, s, o in index:
+        if p in standing:
+            key = (-standing[p], p)
+            best[s, o] = min(best.get((s, o), key), key)
+    keys = {}
+    for (s, _), k in best.items():
+        keys.setdefault(s, set()).add(k)
+    kept = {s: sorted(found)[:n] for s, found in keys.items()}
+    return sorted((s, o) for (s, o), k in best.items() if k in kept[s])
+
+
+def test_out_neighbors_of_a_hub(spark):
+    rng = random.Random(5)
+    # Subject 0 has very many objects; all of those of "shadow" also come by the better "main".
+    index = [("main", 0, o) for o in range(20_000)] + [("shadow", 0, o) for o in range(5_000)]
+    index += [("rare", 0, 30_000 + o) for o in range(3)] + [("low", 0, 40_000)]
+    index += [(rng.choice(["main", "rare", "shadow", "low"]), rng.randint(1, 40), rng.randrange(30)) for _ in range(300)]
+    standing = {"main": 0.9, "shadow": 0.8, "rare": 0.8, "low": 0.1}
+    stats = spark.createDataFrame([(p, 0.5, 1.0, v) for p, v in standing.items()], "p string, support double, discriminability double, score double")
+    rows_in = spark.createDataFrame(index, "p string, s_id bigint, o_id bigint")
+    for n in (1, 2, 3):
+        assert rows(relations.top_out_neighbors(rows_in, stats, n)) == plain_out_neighbors(index, standing, n)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,9 +33,6 @@ def test_tab_separated_triples(spark):
 def test_separators():
     assert readers.triple_separator("x/y.tsv") == "\t"
     assert readers.triple_separator("x/y.nt") == " "
-    assert readers.truth_separator("bbcmusic/gt") == " "
-    assert readers.truth_separator("Restaurant/gt") == "\t"
-    assert readers.truth_separator("yago/gt") == ","
 
 
 def test_ground_truth(spark):
@@ -50,6 +49,7 @@ def test_ground_truth(spark):
             "<http://a/2>,<http://b/3>",
             "<http://a/3>,<http://b/3>",
             "<http://a/9>,<http://b/2>",
+            "<http://a/1>",
         ],
     )
     got = readers.parse_ground_truth(gt, e1, e2)
@@ -105,3 +105,62 @@ def test_one_id_per_uri(spark):
     first = {tuple(r) for r in readers.parse_entity_ids(lines).collect()}
     assert first == {("<a/apple>", 2), ("<a/b>", 0)}
     assert {tuple(r) for r in readers.parse_entity_ids(lines, collection=2).collect()} == {("<a/apple>", -3), ("<a/b>", -1)}
+
+
+def plain_order(texts, encode=lambda x: x):
+    """Subjects of lines in order, first appearance first."""
+    return list(dict.fromkeys(encode(line.split(" ")[0]) for text in texts for line in text.splitlines()))
+
+
+def write_files(folder, texts):
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_subjects_stand_in_the_order_of_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    # The large files come last by name but first by size; one is empty.
+    sizes = {"part-0": 3, "part-1": 40, "part-2": 0, "part-3": 4000, "part-4": 900}
+    texts = {
+        name: "".join(f"<http://X/S{rng.randrange(1500)}> <p> <o{i}> .\n" for i in range(n)) for name, n in sizes.items()
+    }
+    path = write_files(tmp_path / "triples", texts)
+    monkeypatch.setattr(readers, "LINE_RANGE", 64)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("7000", before):  # several splits of a file, then several files in a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            placed = readers.read_placed_lines(spark, path)
+            got = {r.uri: r.entity_id for r in readers.number_subjects(placed).collect()}
+            assert got == {s: i for i, s in enumerate(plain_order(texts.values(), str.lower))}
+            written = {r.uri: r.entity_id for r in readers.number_subjects(placed, as_written=True).collect()}
+            assert written == {s: i for i, s in enumerate(plain_order(texts.values()))}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_truth_by_places_in_triple_files(spark, tmp_path):
+    first = {"a": "<X> <p> <o>\n<y> <p> <o>\n", "b": "<z> <p> <o>\n<X> <p> <q>\n"}
+    second = {"a": "<k> <p> <o>\n", "b": "<l> <p> <o>\n<m> <p> <o>\n"}
+    subjects = [
+        readers.number_subjects(
+            readers.read_placed_lines(spark, write_files(tmp_path / name, texts)), as_written=True
+        )
+        for name, texts in (("one", first), ("two", second))
+    ]
+    gt = lines(spark, ["<X>,<m>", "<z>,<k>", "<y>,<none>", "<none>,<l>", "<x>,<l>", "<z>,<m>", "<y>"])
+    got = readers.parse_ground_truth_by_subjects(gt, *subjects)
+    # Kept as they are: two partners of -2, the unknown as -1, number 0 of collection 2.
+    assert rows(got) == sorted([(-2, 0), (0, 2), (-1, 1), (-1, -1), (-1, -1), (-2, 2), (-1, 1)])
+
+
+def test_blocks_with_more_entities_than_a_line_holds(spark):
+    data = [(1, i) for i in range(30)] + [(1, -i) for i in range(1, 9)] + [(2, -3), (3, 7)]
+    members = spark.createDataFrame(data, "block_id bigint, entity_id bigint")
+    written = writers.block_lines(members, 5)
+    assert rows(readers.parse_blocks(written)) == sorted(data)
+    assert written.count() > 8
+    assert rows(writers.block_lines(members.where("block_id > 1"))) == [("2\t;-3#",), ("3\t7#;",)]
+    assert rows(writers.block_lines(members.where("false"))) == []

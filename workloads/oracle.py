@@ -285,6 +285,17 @@ ORACLE["ground_truth"] = "SELECT d2_id, d1_id FROM star_truth"
 ORACLE["ground_truth_ids"] = "SELECT -(o_orderkey * 5 + 4) AS d2_id, o_custkey * 5 + 1 AS d1_id FROM orders"
 ORACLE["assign_entity_ids"] = """SELECT '<http://kb1/customer/' || o_custkey || '>' AS uri,
     row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS entity_id FROM orders GROUP BY o_custkey"""
+for kb, sign in ((1, "-"), (2, "")):
+    # Customers by the file and line in which an order first names them.
+    PARTS[f"placed{kb}"] = f"""SELECT o_custkey, row_number() OVER (ORDER BY place) - 1 AS number FROM (
+      SELECT o_custkey, min((length(bin(o_orderkey)), {sign}o_orderkey)) AS place FROM orders GROUP BY o_custkey)"""
+ORACLE["assign_entity_ids_files"] = """SELECT '<http://kb1/customer/' || o_custkey || '>' AS uri, number AS entity_id
+  FROM placed1"""
+ORACLE["ground_truth_from_triples"] = """SELECT coalesce(-b.number, -1) AS d2_id, coalesce(a.number, -1) AS d1_id
+  FROM customer LEFT JOIN placed1 a ON a.o_custkey = c_custkey LEFT JOIN placed2 b ON b.o_custkey = c_custkey"""
+ORACLE["ground_truth_roundtrip"] = ORACLE["ground_truth"]
+ORACLE["block_roundtrip"] = """SELECT DISTINCT l_suppkey AS block_id, l_partkey AS entity_id FROM lineitem
+  UNION ALL SELECT DISTINCT l_suppkey, -(l_orderkey + 1) FROM lineitem"""
 _encoded = "replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
 _name = "replace(url, '/', '(')"
 ORACLE["uri_encode"] = f"""SELECT page_id,
@@ -313,6 +324,11 @@ ORACLE["candidate_pairs"] = """SELECT a.entity_id, a.block_id,
     count(*) FILTER ((a.entity_id >= 0) = (b.entity_id >= 0)) AS n_same,
     count(*) FILTER ((a.entity_id >= 0) <> (b.entity_id >= 0)) AS n_candidates
   FROM docs_sized a JOIN docs_sized b USING (block_id) GROUP BY a.entity_id, a.block_id"""
+ORACLE["expanded_block_pairs"] = """SELECT a.entity_id, b.entity_id AS cand_id, block_id,
+    CASE WHEN a.entity_id >= 0 THEN a.n1 ELSE a.n2 END AS n_same,
+    CASE WHEN a.entity_id >= 0 THEN a.n2 ELSE a.n1 END AS n_candidates
+  FROM docs_sized a JOIN docs_sized b USING (block_id)
+  WHERE a.entity_id % 100 = 0 AND (a.entity_id >= 0) <> (b.entity_id >= 0)"""
 ORACLE["wjs_entity_weights"] = f"SELECT entity_id, {unfixed('norm')} AS weight FROM docs_norm"
 for _scheme in ("cbs", "wjs", "idf", "arcs"):
     ORACLE[f"cnp_{_scheme}"] = f"SELECT * FROM docs_{_scheme}"
@@ -343,6 +359,14 @@ ORACLE["neighbor_pairs"] = f"""SELECT d2_id, d1_id, sim, n1, n2 FROM (
     FROM star_arcs GROUP BY 1, 2)
   JOIN (SELECT entity_id AS d1_id, count(*) AS n1 FROM inn GROUP BY 1) USING (d1_id)
   JOIN (SELECT entity_id AS d2_id, count(*) AS n2 FROM inn GROUP BY 1) USING (d2_id)"""
+PARTS["nb_links"] = ORACLE["neighbor_pairs"]
+_row_key = "(CASE WHEN {x} >= 0 THEN {x} ELSE -{x} - 1 END // 5)"
+ORACLE["expanded_neighbor_pairs"] = " UNION ALL ".join(
+    f"""SELECT {mine}.in_id AS entity_id, {other}.in_id AS cand_id, d2_id, d1_id, sim
+    FROM nb_links JOIN inn x ON x.entity_id = d2_id JOIN inn y ON y.entity_id = d1_id
+    WHERE {_row_key.format(x=f"{mine}.in_id")} % 100 = 0"""
+    for mine, other in (("x", "y"), ("y", "x"))
+)
 ORACLE["neighbor_sum"] = "SELECT * FROM nb_arcs_sum"
 ORACLE["neighbor_max"] = "SELECT * FROM nb_arcs_max"
 ORACLE["neighbor_sum_heavy"] = ORACLE["neighbor_sum"]
@@ -368,6 +392,7 @@ ORACLE["borda_counts"] = """SELECT source, count(*) AS results FROM borda GROUP
   UNION ALL SELECT 'lists with a common candidate', count(DISTINCT entity_id) FROM borda WHERE has_common"""
 
 ORACLE["full_workflow"] = "SELECT * FROM full_matches"
+ORACLE["resolve_files"] = "SELECT * FROM full_matches"
 # The data has at most three relations per collection, so N = 5 and N = 3 agree.
 ORACLE["workflow_arcs_reciprocal"] = "SELECT * FROM recip_matches"
 ORACLE["workflow_arcs_borda"] = "SELECT * FROM mutual_arcs_sum"
@@ -397,6 +422,12 @@ ORACLE["eval_input_blocks"] = candidate_quality(raw_pairs("docs"), "docs_truth")
 ORACLE["eval_input_blocks_star"] = candidate_quality(raw_pairs("star"), "star_truth")
 ORACLE["eval_provenance"] = """SELECT source, count(*) AS tp FROM borda b
   JOIN star_truth t ON t.d2_id = b.entity_id AND t.d1_id = b.cand_id GROUP BY source"""
+_second_borda = "SELECT entity_id AS d2_id, cand_id AS d1_id FROM borda WHERE entity_id < 0"
+ORACLE["eval_by_source"] = f"""SELECT source, (
+      SELECT count(*) FROM borda b JOIN star_truth t ON t.d2_id = b.entity_id AND t.d1_id = b.cand_id
+      WHERE b.source = s.source) AS source_tp, q.*
+  FROM (VALUES ('VALUES'), ('NEIGHBORS'), ('BOTH'), ('VALUES_WITH_EMPTY_NEIGHBORS'),
+      ('NEIGHBORS_WITH_EMPTY_VALUES')) s(source), ({candidate_quality(_second_borda, 'star_truth')}) q"""
 
 
 def sides(source: str, condition: str = "true", label: str = "") -> str:
@@ -427,6 +458,7 @@ ORACLE["contributions"] = found_by("star_arcs", "nb_arcs_sum")
 ORACLE["contributions_wjs"] = found_by("star_wjs", "nb_wjs_max")
 ORACLE["eval_labels"] = match_quality("SELECT * FROM label_pairs", "star_truth", truth_only=True)
 ORACLE["eval_full"] = match_quality("SELECT * FROM full_matches", "star_truth", truth_only=True)
+ORACLE["eval_resolved_files"] = ORACLE["eval_full"]
 ORACLE["eval_full_without_labels"] = match_quality("SELECT * FROM recip_matches", "star_truth", truth_only=True)
 ORACLE["eval_borda"] = (
     sides("top1_arcs_sum")

@@ -11,6 +11,7 @@ from linkloom.functions import scores, text
 from linkloom.operators import (
     blocking,
     evaluation,
+    expansion,
     labels,
     matching,
     neighbors,
@@ -18,6 +19,8 @@ from linkloom.operators import (
     relations,
     weighting,
 )
+from linkloom.plans.paths import evaluate_paths, resolve_paths
+from linkloom.plans.resolver import ResolverConfig
 from linkloom.runtime import fresh_path, materialize
 from linkloom.sources import readers, writers
 from workloads import views
@@ -82,6 +85,42 @@ def assign_entity_ids(spark, sf):
     return readers.assign_entity_ids(orders, range_size=4096)
 
 
+@query
+def assign_entity_ids_files(spark, sf):
+    """Subjects of several triple files numbered in the order of the files."""
+    placed = readers.read_placed_lines(spark, views.order_statement_files(spark, sf, 1))
+    return readers.number_subjects(placed)
+
+
+@query
+def ground_truth_from_triples(spark, sf):
+    """The truth by places in the triple files, without a file of ids."""
+    subjects = [
+        readers.number_subjects(
+            readers.read_placed_lines(spark, views.order_statement_files(spark, sf, c)), as_written=True
+        )
+        for c in (1, 2)
+    ]
+    lines = views.written(views.customer_pair_lines(spark, sf), "truth-lines")
+    return readers.parse_ground_truth_by_subjects(lines, *subjects)
+
+
+@query
+def ground_truth_roundtrip(spark, sf):
+    """The truth with ids, written and read again."""
+    path = fresh_path(spark, "truth-ids")
+    writers.write_matches(views.star_truth(spark, sf), path)
+    return readers.parse_matches(readers.read_lines(spark, path))
+
+
+@query
+def block_roundtrip(spark, sf):
+    """Blocks written with at most 50 entities on a line, and read again."""
+    path = fresh_path(spark, "blocks")
+    writers.block_lines(views.supplier_members(spark, sf), 50).write.text(path)
+    return readers.parse_blocks(readers.read_lines(spark, path))
+
+
 @query
 def uri_encode(spark, sf):
     pages = views.table(spark, sf, "pages")
@@ -168,6 +207,16 @@ def candidate_pairs(spark, sf):
     return blocking.candidate_counts(views.document_resolver(spark, sf).sized_blocks)
 
 
+def _chosen(entity_id):
+    """The entities that are looked up against all rows."""
+    return entity_id % 100 == 0
+
+
+@query
+def expanded_block_pairs(spark, sf):
+    return expansion.block_pairs(views.document_resolver(spark, sf).sized_blocks, _chosen)
+
+
 # ---- weighting ----------------------------------------------------------
 
 
@@ -285,6 +334,17 @@ def neighbor_pairs(spark, sf):
     return links.select("d2_id", "d1_id", scores.from_fixed(F.col("weight")).alias("sim"), "n1", "n2")
 
 
+@query
+def expanded_neighbor_pairs(spark, sf):
+    r = views.star_resolver(spark, sf)
+    links = materialize(neighbors.neighbor_links(r.kept_value_candidates(), r.in_neighbors), "neighbor-links")
+
+    def chosen(entity_id):
+        return views.row_key(entity_id) % 100 == 0
+
+    return expansion.neighbor_pairs(links, r.in_neighbors, chosen)
+
+
 @query
 def neighbor_sum(spark, sf):
     return views.star_resolver(spark, sf).neighbor_candidates(combine="sum")
@@ -405,6 +465,19 @@ def full_workflow(spark, sf):
     return views.star_resolver(spark, sf).run()
 
 
+def _resolved_files(spark, sf):
+    inputs, truth = views.star_files(spark, sf)
+    output, work = fresh_path(spark, "resolved"), fresh_path(spark, "work")
+    config = ResolverConfig(label_attributes1=views.NAME_ATTRIBUTES[1], label_attributes2=views.NAME_ATTRIBUTES[2])
+    return resolve_paths(spark, inputs, output, work, config), output, inputs, truth
+
+
+@query
+def resolve_files(spark, sf):
+    """The full workflow from files to a file."""
+    return _resolved_files(spark, sf)[0]
+
+
 @query
 def workflow_arcs_reciprocal(spark, sf):
     return views.star_resolver(spark, sf, n_relations=5).match_without_labels()
@@ -508,6 +581,14 @@ def eval_provenance(spark, sf):
     return evaluation.true_positives_by_source(second, views.star_truth(spark, sf))
 
 
+@query
+def eval_by_source(spark, sf):
+    """The matches found through each source, beside the totals of all lists."""
+    aggregated = rank_aggregation.borda_provenance(*_lists(spark, sf), TOP_L)
+    second = aggregated.where("entity_id < 0").selectExpr("entity_id as d2_id", "cand_id as d1_id", "source")
+    return evaluation.evaluate_by_source(second, views.star_truth(spark, sf))
+
+
 @query
 def eval_top1_sides(spark, sf):
     values, nearby = _lists(spark, sf)
@@ -548,6 +629,13 @@ def eval_full(spark, sf):
     return r.evaluate(r.run(), views.star_truth(spark, sf))
 
 
+@query
+def eval_resolved_files(spark, sf):
+    """Written matches against a truth file."""
+    _, output, inputs, truth = _resolved_files(spark, sf)
+    return evaluate_paths(spark, output, truth, inputs)
+
+
 @query
 def eval_full_without_labels(spark, sf):
     r = views.star_resolver(spark, sf)

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom import Resolver, ResolverConfig
+from linkloom import InputPaths, Resolver, ResolverConfig
 from linkloom.functions import ids
 from linkloom.operators import blocking
-from linkloom.runtime import materialize
-from linkloom.sources import readers
+from linkloom.runtime import fresh_path, materialize
+from linkloom.sources import readers, writers
 
 KINDS = {"nation": 0, "customer": 1, "supplier": 2, "order": 3, "part": 4}
 TABLES = {
@@ -80,6 +80,12 @@ def file_id(kind: str) -> Column:
     return F.col(TABLES[kind][1]).cast("bigint") * len(KINDS) + KINDS[kind]
 
 
+def row_key(entity_id: Column) -> Column:
+    """The key of the row that an entity of either collection describes."""
+    number = F.when(ids.is_first(entity_id), entity_id).otherwise(-entity_id - 1)
+    return F.floor(number / len(KINDS))
+
+
 def uri(collection: int, kind: str, key: str) -> Column:
     return F.concat(F.lit(f"<http://KB{collection}/{kind}/"), F.col(key).cast("string"), F.lit(">"))
 
@@ -221,3 +227,75 @@ def order_block_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").cast("string"), F.lit("\t"), F.array_join(parts, ""), F.lit(";"), F.array_join(suppliers, "")
     )
     return lines.select(value.alias("value"))
+
+
+def supplier_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of suppliers: their parts in collection 1, the orders of these in collection 2."""
+    lines = table(spark, sf, "lineitem")
+    block = F.col("l_suppkey").cast("bigint").alias("block_id")
+    parts = lines.select(block, F.col("l_partkey").cast("bigint").alias("entity_id"))
+    orders = lines.select(block, ids.encode_second(F.col("l_orderkey").cast("bigint")).alias("entity_id"))
+    return parts.unionByName(orders).distinct()
+
+
+# ---- files in order -----------------------------------------------------
+
+
+def ordered_files(lines: DataFrame, name: str) -> str:
+    """Write ``(dir, key, value)`` as files that stand by ``dir`` and ``key`` when taken by name.
+
+    The folders are of very unequal size; Spark would read large ones first.
+    """
+    path = fresh_path(lines.sparkSession, name)
+    placed = lines.repartitionByRange("dir", "key").sortWithinPartitions("dir", "key")
+    placed.select("dir", "value").write.partitionBy("dir").text(path)
+    return path
+
+
+def order_statement_files(spark: SparkSession, sf: str, collection: int) -> str:
+    """Who placed each order, with the customer as subject.
+
+    A folder holds the order keys of one length in bits.  Within a folder the
+    keys of collection 1 fall and those of collection 2 rise.
+    """
+    predicate = PREDICATES[collection]["customer"]
+    line = F.concat(
+        uri(collection, "customer", "o_custkey"), F.lit(f" <http://kb{collection}/{predicate}> "),
+        uri(collection, "order", "o_orderkey"), F.lit(" ."),
+    )
+    key = F.col("o_orderkey").cast("bigint")
+    return ordered_files(
+        table(spark, sf, "orders").select(
+            (F.length(F.bin(key)) + 100).alias("dir"), (-key if collection == 1 else key).alias("key"), line.alias("value")
+        ),
+        "order-statements",
+    )
+
+
+def customer_pair_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The URI pair of every customer, also of those that no order names."""
+    pair = F.concat_ws(",", uri(1, "customer", "c_custkey"), uri(2, "customer", "c_custkey"))
+    return table(spark, sf, "customer").select(pair.alias("value"))
+
+
+def star_files(spark: SparkSession, sf: str) -> tuple[InputPaths, str]:
+    """The star collections as files of blocks, triples, ids and truth.
+
+    Blocks get numbers that rise with their names, so that ties among blocks of
+    one size fall as they do by name.
+    """
+    folder = fresh_path(spark, "star-files")
+    members = materialize(star_members(spark, sf), "members")
+    names = members.select("block_id").distinct().select(
+        F.lit(100).alias("dir"), F.col("block_id").alias("key"), F.col("block_id").alias("value")
+    )
+    placed = readers.read_placed_lines(spark, ordered_files(names, "block-names"))
+    numbers = readers.number_subjects(placed, separator="\t", as_written=True)
+    numbered = members.withColumnRenamed("block_id", "uri").join(numbers.withColumnRenamed("entity_id", "block_id"), "uri")
+    writers.write_blocks(numbered.select("block_id", "entity_id"), f"{folder}/blocks")
+    for c in (1, 2):
+        triple_lines(spark, sf, c).write.text(f"{folder}/triples{c}")
+        id_lines(spark, sf, c).write.text(f"{folder}/ids{c}")
+    truth_lines(spark, sf).write.text(f"{folder}/truth")
+    paths = InputPaths(*(f"{folder}/{name}" for name in ("blocks", "triples1", "triples2", "ids1", "ids2")))
+    return paths, f"{folder}/truth"
