@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 URI_PREFIX = "<http://dbpedia.org/resource/"
 LABEL_DROP_PATTERN = "[^a-z0-9 ]"
 TERMINATOR_PATTERN = r" \.$"
-TOKEN_SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
+TOKEN_SPLIT_PATTERN = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def strip_terminator(line: Column) -> Column:

@@ -112,3 +112,10 @@ def test_token_blocking(spark):
 def test_words_of_any_script(spark):
     docs = spark.createDataFrame([(0, "Été über_x"), (-1, "été, ÜBER Привет"), (1, "привет 4")], "entity_id bigint, text string")
     assert {b for b, _ in rows(blocking.token_blocking(docs))} == {"été", "über", "привет"}
+
+
+def test_marks_belong_to_their_words(spark):
+    # A vowel sign and a virama in Devanagari, an accent as a character of its own.
+    words = ["\u0939\u093f\u0928\u094d\u0926\u0940", "cafe\u0301"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (-2, "; ".join(words))], "entity_id bigint, text string")
+    assert {b for b, _ in rows(blocking.token_blocking(docs))} == set(words)

@@ -36,7 +36,7 @@ def quality(counts: str, extra: str = "") -> str:
 PARTS["docs"] = """SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -(doc_id + 1) END AS entity_id, text
   FROM documents"""
 PARTS["docs_members"] = """SELECT DISTINCT entity_id, block_id
-  FROM (SELECT entity_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS block_id FROM docs)
+  FROM (SELECT entity_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}]+')) AS block_id FROM docs)
   WHERE block_id <> ''"""
 PARTS["docs_truth"] = """SELECT b.entity_id AS d2_id, min(a.entity_id) AS d1_id
   FROM docs a JOIN docs b ON a.text = b.text AND a.entity_id >= 0 AND b.entity_id < 0
