@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -68,36 +69,37 @@ def plain_kt(a, b):
     return p
 
 
-def plain_log10(texts, text):
+def plain_log10(texts, text, depth):
     """Context trees by recursion over every context, with exact small products."""
     counts = Counter()
     for t in texts:
-        b = b"\xff\xff" + context_tree.lowered(t) + b"\xff"
-        counts.update(b[i - 2 : i + 1] for i in range(2, len(b)))
+        b = b"\xff" * depth + context_tree.lowered(t) + b"\xff"
+        counts.update(b[i - depth : i + 1] for i in range(depth, len(b)))
 
     def decided(context, prefix, bits):
         n = [0, 0]
         for g, c in counts.items():
-            if g[2 - len(context) : 2] == context and g[2] >> (8 - bits) == prefix:
-                n[g[2] >> (7 - bits) & 1] += c
+            if g[depth - len(context) : depth] == context and g[depth] >> (8 - bits) == prefix:
+                n[g[depth] >> (7 - bits) & 1] += c
         return n
 
+    @cache
     def weighted(context, prefix, bits):
         kt = plain_kt(*decided(context, prefix, bits))
-        if len(context) == 2:
+        if len(context) == depth:
             return kt, 1.0
-        product = 1.0
-        for g in {g[1 - len(context) : 2] for g in counts if g[2 - len(context) : 2] == context}:
+        product, longer = 1.0, len(context) + 1
+        for g in {g[depth - longer : depth] for g in counts if g[depth - len(context) : depth] == context}:
             product *= weighted(g, prefix, bits)[0]
         return 0.5 * kt + 0.5 * product, 0.5 * kt / (0.5 * kt + 0.5 * product)
 
-    b, total = b"\xff\xff" + context_tree.lowered(text) + b"\xff", 0.0
-    for i in range(2, len(b)):
+    b, total = b"\xff" * depth + context_tree.lowered(text) + b"\xff", 0.0
+    for i in range(depth, len(b)):
         for bits in range(8):
             prefix, bit = b[i] >> (8 - bits), b[i] >> (7 - bits) & 1
             left, p = 1.0, 0.0
-            for depth in range(3):
-                context = b[i - depth : i]
+            for d in range(depth + 1):
+                context = b[i - d : i]
                 n = decided(context, prefix, bits)
                 own = weighted(context, prefix, bits)[1]
                 p += left * own * (n[bit] + 0.5) / (sum(n) + 1)
@@ -106,21 +108,40 @@ def plain_log10(texts, text):
     return total
 
 
-def test_context_tree_equals_recursion(spark):
-    train, held = ["Abra cab", "abra", None, "zé"], ["bra ab", "", "q", None]
+@pytest.mark.parametrize("depth, head", [(3, 1 << 22), (4, 1 << 22), (4, 8), (5, 1)])
+def test_context_tree_equals_recursion(spark, monkeypatch, depth, head):
+    monkeypatch.setattr(context_tree, "HEAD_GRAMS", head)
+    monkeypatch.setattr(context_tree, "CHUNK", 5)
+    train, held = ["Abra cab", "abra", None, "zé"], ["bra abra kadabra", "", "q", None]
     rows = [(i, t) for i, t in enumerate(train + held)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in context_tree.score_documents(docs, F.col("doc_id") >= len(train)).collect()}
+    scored = context_tree.score_documents(docs, F.col("doc_id") >= len(train), depth=depth)
+    got = {r.doc_id: r for r in scored.collect()}
+    assert len(got) == len(rows)
     words = Counter(w for t in train for w in [*context_tree.lowered(t).split(), None])
     n, v = sum(words.values()), len(words)
     for i, t in rows:
-        assert got[i].score == pytest.approx(plain_log10(train, t), rel=1e-5)
+        assert got[i].score == pytest.approx(plain_log10(train, t, depth), rel=1e-5)
         tokens = [*context_tree.lowered(t).split(), None]
         assert (got[i].n_tokens, got[i].train_tokens) == (len(tokens), n)
         assert got[i].n_known == sum(words[w] > 0 for w in tokens)
         assert got[i].base_score == pytest.approx(sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
 
 
+def test_context_tree_without_training(spark):
+    docs = spark.createDataFrame([(None, "ab"), (1, "é")], "doc_id long, text string")
+    got = context_tree.score_documents(docs, F.lit(None).cast("boolean")).collect()
+    assert sorted(r.score for r in got) == pytest.approx([-24 * math.log10(2)] * 2)
+    with pytest.raises(ValueError, match="depth"):
+        context_tree.score_documents(docs, F.lit(False), depth=2)
+
+
+def test_context_tree_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(0, "Lorem ipsum " * 250_000), (1, "lorem ipsum")], "doc_id long, text string")
+    got = {r.doc_id: r for r in context_tree.score_documents(docs, F.col("doc_id") == 1).collect()}
+    assert got[0].n_tokens == 500_001 and got[0].bits_per_byte < 0.01
+
+
 def test_rare_words_are_looked_up(spark, monkeypatch):
     monkeypatch.setattr(context_tree, "HEAD", 4)
     docs = spark.createDataFrame([(0, "a a a a b c"), (1, "a b d d")], "doc_id long, text string")
@@ -131,7 +152,5 @@ def test_rare_words_are_looked_up(spark, monkeypatch):
     assert context_tree.score_documents(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_byte_probabilities_sum_to_one():
-    p = np.random.default_rng(0).uniform(0.01, 0.99, (3, 256))
-    assert np.allclose((10 ** context_tree.byte_logs(p)).sum(-1), 1)
+def test_log_gamma():
     assert np.allclose(context_tree.log_gamma(np.array([0.5, 1, 3.5, 900.5])), [math.lgamma(x) for x in (0.5, 1, 3.5, 900.5)])
