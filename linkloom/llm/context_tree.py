@@ -28,8 +28,8 @@ Equal grams are folded in the task before they are shuffled.
   is put together in the driver from 256 rows.
 * A join by (two bytes, byte) completes the log probability of each gram.
 * A gram that makes up at least 1 / HEAD_GRAMS of all bytes is common; there
-  cannot be more than HEAD_GRAMS of them (48 MB), so they are broadcast.  The other
-  grams of each text meet their log probabilities in a join, in which by
+  cannot be more than HEAD_GRAMS of them, so they are broadcast as an open hash
+  table (at most 2**23 places, 100 MB).  The other grams of each text meet their log probabilities in a join, in which by
   definition no key is hot.
 
 The word counts beside it work alike.  A word that makes up at least 1 / HEAD of
@@ -335,6 +335,42 @@ def gram_logs(sums: DataFrame, depth: int) -> DataFrame:
     grams_of_texts = deep.filter("key IS NOT NULL").select("key", "times", "p", pair.alias("pair"))
     return materialize(grams_of_texts.join(upper, "pair").select("key", "times", log.alias("log")), "context-logs")
 
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    """First place of each key in a table of ``size`` (a power of two) places."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open table of different keys >= 0, at most half full; free places hold -1."""
+    size = 2 << max(len(keys) - 1, 0).bit_length()
+    table, out = np.full(size, -1, np.int64), np.zeros(size, values.dtype)
+    at, left = _slot(keys, size), np.arange(len(keys))
+    while len(left):
+        free = left[table[at[left]] == -1]
+        table[at[free]] = keys[free]  # of keys that meet in a place one stays
+        placed = table[at[left]] == keys[left]
+        out[at[left[placed]]] = values[left[placed]]
+        left = left[~placed]
+        at[left] = (at[left] + 1) & (size - 1)
+    return table, out
+
+
+def from_table(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which wanted keys are in the table, and the values of those."""
+    at = _slot(wanted, len(table))
+    found = table[at]
+    hit = found == wanted
+    left = np.flatnonzero(~hit & (found != -1))
+    while len(left):
+        at[left] = (at[left] + 1) & (len(table) - 1)
+        found = table[at[left]]
+        same = found == wanted[left]
+        hit[left[same]] = True
+        left = left[~same & (found != -1)]
+    return hit, values[at[hit]]
+
+
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which wanted keys are among the sorted keys, and the values of those."""
     if not len(keys):
@@ -386,7 +422,7 @@ def _scored(
                 n_bytes.append(len(raw))
                 summed = 0.0
                 for piece, key in enumerate(grams(raw, depth)):
-                    hit, logs = _looked_up(gram_keys, gram_log, key)
+                    hit, logs = from_table(gram_keys, gram_log, key)
                     summed += float(logs.sum(dtype=np.float64))
                     if piece == 0:
                         rare_grams.append(key[~hit])
@@ -440,8 +476,7 @@ def score_documents(
     length = logs.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     is_common = F.col("times") * HEAD_GRAMS >= length
     common_grams = logs.filter(is_common).select("key", F.col("log").cast("float")).toArrow()  # at most HEAD_GRAMS rows
-    order = np.argsort(common_grams["key"].to_numpy())
-    tree = spark.sparkContext.broadcast(tuple(common_grams[c].to_numpy()[order] for c in ("key", "log")))
+    tree = spark.sparkContext.broadcast(hash_table(*(common_grams[c].to_numpy() for c in ("key", "log"))))
     head = spark.sparkContext.broadcast((common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     kind = dict(given.dtypes)["doc_id"]
     scored = materialize(

@@ -154,3 +154,13 @@ def test_rare_words_are_looked_up(spark, monkeypatch):
 
 def test_log_gamma():
     assert np.allclose(context_tree.log_gamma(np.array([0.5, 1, 3.5, 900.5])), [math.lgamma(x) for x in (0.5, 1, 3.5, 900.5)])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_hash_table_finds_its_keys_alone(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 3 * n + 1, n)) * 256
+    values = np.arange(len(keys), dtype=np.float32)
+    wanted = np.arange(0, 256 * (3 * n + 2), 64)
+    hit, got = context_tree.from_table(*context_tree.hash_table(keys, values), wanted)
+    assert (hit == np.isin(wanted, keys)).all()
+    assert (got == np.searchsorted(keys, wanted[hit])).all()
