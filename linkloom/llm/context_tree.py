@@ -97,8 +97,12 @@ def grams(raw: bytes, depth: int) -> Iterator[np.ndarray]:
         yield key
 
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63) or 1
+def word_keys(words: Counter) -> np.ndarray:
+    """64-bit hashes of the words as signed numbers, none of them that of the end."""
+    unsigned = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    keys = (unsigned ^ np.uint64(1 << 63)).view(np.int64)
+    keys[keys == END_KEY] = 1
+    return keys
 
 
 def _folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +124,11 @@ def _counted(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "times"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, held, sums = Counter(), [], 0, []
+        words, ends, parts, held, sums = Counter(), 0, [], 0, []
 
         def word_rows() -> Iterator[pa.RecordBatch]:
-            key = np.fromiter((END_KEY if w is None else word_key(w) for w in words), np.int64, len(words))
             n = np.fromiter(words.values(), np.int64, len(words))
-            yield from rows(KIND_WORD, key, n, n)
+            yield from rows(KIND_WORD, word_keys(words), n, n)
 
         def gram_rows() -> Iterator[pa.RecordBatch]:
             # the lowest bit of a counted gram says that the text is held out
@@ -137,7 +140,7 @@ def _counted(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 raw, out = lowered(text.as_py()), out.as_py()
                 if not out:
                     words.update(raw.split())
-                    words[None] += 1
+                    ends += 1
                     if len(words) > HELD_WORDS:
                         yield from word_rows()
                         words.clear()
@@ -154,6 +157,8 @@ def _counted(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             sums = [_folded([*sums, np.unique(np.concatenate(parts), return_counts=True)])]
         yield from gram_rows()
         yield from word_rows()
+        if ends:
+            yield from rows(KIND_WORD, *(np.array([x]) for x in (END_KEY, ends, ends)))
 
     return counted
 
@@ -396,22 +401,13 @@ def _scored(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (gram_keys, gram_log), (keys, numbers) = common_grams.value, common.value
         log_of = np.log10((numbers + 0.5) / (total + 0.5 * (kinds + 1)))
-        known: dict[bytes, int] = {}
         for batch in batches:
             n_tokens, n_known, base, score, n_bytes, rare, times, rare_grams = [], [], [], [], [], [], [], []
             later_rows, later_grams = [], []
             for row, text in zip(batch.column("row"), batch.column("text")):
                 raw = lowered(text.as_py())
                 words = Counter(raw.split())
-                found = np.empty(len(words) + 1, np.int64)
-                for i, w in enumerate(words):
-                    key = known.get(w)
-                    if key is None:
-                        if len(known) > HELD_WORDS:
-                            known.clear()
-                        known[w] = key = word_key(w)
-                    found[i] = key
-                found[-1] = END_KEY
+                found = np.append(word_keys(words), END_KEY)
                 n = np.fromiter((*words.values(), 1), np.int64, len(found))
                 hit, logs = _looked_up(keys, log_of, found)
                 n_tokens.append(int(n.sum()))
