@@ -125,3 +125,19 @@ def test_met_pairs_are_counted_in_tiles(spark, monkeypatch):
     df = spark.createDataFrame(members, "block_id bigint, entity_id bigint")
     got = evaluation.evaluate_blocks(df, pair_frame(spark, truth)).first()
     assert (got.tp, got.tp + got.fp) == (sum(p in met for p in truth), len(met))
+
+
+@pytest.mark.parametrize("in_tiles", [True, False])
+def test_repeated_members_count_as_before(spark, monkeypatch, in_tiles):
+    """Entities given twice, thrice or once: the tiles count as the folded blocks do."""
+    if not in_tiles:
+        monkeypatch.setattr(evaluation, "DENSE", 0)
+    times = [1, 2, 3]
+    members = [(b, e) for b, e in random_blocks(12) for _ in range(times[e % 3])]
+    blocks = {}
+    for b, e in members:
+        blocks.setdefault(b, set()).add(e)
+    met = {(a, c) for es in blocks.values() for a in es for c in es if a < 0 <= c}
+    df = spark.createDataFrame(members, "block_id bigint, entity_id bigint")
+    got = evaluation.evaluate_blocks(df, pair_frame(spark, [(-1, 0)])).first()
+    assert got.tp + got.fp == sum(times[a % 3] + times[c % 3] - 1 for a, c in met)
