@@ -11,12 +11,13 @@ weighted Jaccard similarity as probability.  Weights are 1 by default (plain
 Jaccard) or the counts of the shingles.
 
 Texts with equal words fold into one representative first.  In each bucket of
-equal bands the members are compared with the smallest member; what is similar
-enough is linked, so a large group of near copies costs its size, not its
-square.  Similar texts may miss each other's pivot: members of a bucket that
+equal bands the members are compared with the one that meets most others; what
+is similar enough is linked, so a large group of near copies costs its size, not
+its square.  Similar texts may miss each other's pivot: members of a bucket that
 still lie in different components are joined on their rarest shingles, of which
-sets that similar must share one, and the pairs found are compared.  Every
-comparison is exact, over all shingles.
+sets that similar must share one, and the pairs found are compared.  Rarity is
+the number of texts that have the shingle, counted exactly.  Every comparison is
+exact, over all shingles.
 
 Classes are the connected components of the links.  A band of ROWS coordinates
 is equal with probability s**ROWS; with BANDS bands a pair at 0.8 is missed once
@@ -36,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.components import components
@@ -49,7 +50,7 @@ BANDS = 40
 ROWS = 6
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 500_000
-#: Buckets in which the rarity of shingles is counted (a power of two).
+#: Buckets of the counts that ``rarest`` takes (a power of two).
 RARITY = 1 << 16
 
 U = np.uint64
@@ -225,40 +226,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("common") >= similarity * all_of - 1e-9).select("a", "b")
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles fall in each of RARITY buckets, one row for a bucket and task."""
-    total = np.zeros(RARITY, np.int64)
-    for batch in batches:
-        found = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        total += np.bincount((found & U(RARITY - 1)).astype(np.int64), minlength=RARITY)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
-
-
 def rarest(elements: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """As many of the rarest elements, rarest first, that a set this similar must share one of them."""
+    """As many of the rarest elements, rarest first, that a set this similar must share one of them.
+
+    The prefix of one set, in an order by counts of buckets; ``_rare_shingles`` is
+    the same for a table, in an order by exact counts.
+    """
     n = len(elements) - math.ceil(similarity * len(elements) - 1e-9) + 1
     order = np.lexsort((elements, counts[(elements.view(np.uint64) & U(RARITY - 1)).astype(np.int64)]))
     return elements[order[:n]]
 
 
-def _rarest(counts: np.ndarray, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [s.values.to_numpy(zero_copy_only=False) for s in batch.column("shingles")]
-            sets = [rarest(s, counts, similarity) for s in whole]
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("words"),
-                    pa.array(list(map(len, whole)), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                names=["words", "n", "rare"],
-            )
+def _rare_shingles(open_texts: DataFrame, written_sets: DataFrame, similarity: float) -> DataFrame:
+    """``(words, label, n, at, rare)``: the first shingles of every text that lie in several components.
 
-    return listed
+    Shingles of one component come first in the order: they hold a place and make
+    no pair, so only the others move.  These follow by the number of texts that
+    have them, counted one by one, and by hash.  ``at`` is the place from 0 in
+    that order, ``n`` the size of the set; only the first
+    ``n - ceil(similarity * n) + 1`` places are listed.
+    """
+    # short numbers move instead of marks
+    components_of = materialize(
+        open_texts.select("label").distinct().withColumn("component", F.monotonically_increasing_id()), "open-labels"
+    )
+    sets = materialize(
+        open_texts.join(components_of, "label")
+        .join(written_sets.select("words", "shingles").dropDuplicates(["words"]), "words")
+        .select("words", "label", "component", F.monotonically_increasing_id().alias("text"), "shingles"),
+        "open-sets",
+    )
+    in_several = (
+        sets.select("component", F.explode("shingles").alias("rare"))
+        .groupBy("rare")
+        .agg(F.count("*").alias("texts"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low != high")
+        .select("rare", "texts")
+    )
+    size = F.size("shingles").cast("long")
+    listed = sets.select("text", size.alias("n"), F.explode("shingles").alias("rare")).join(in_several, "rare")
+    in_text = Window.partitionBy("text")
+    placed = (
+        listed.withColumn("nth", F.row_number().over(in_text.orderBy("texts", "rare")))
+        .withColumn("alone", F.col("n") - F.count("*").over(in_text))
+        .withColumn("at", F.col("alone") + F.col("nth") - 1)
+        .filter(F.col("at") < F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1)
+    )
+    marks = sets.select("text", "words", "label")
+    return placed.join(marks, "text").select("words", "label", "n", "at", "rare")
 
 
 def _rare_pairs(open_texts: DataFrame, written_sets: DataFrame, similarity: float) -> DataFrame:
@@ -268,22 +283,11 @@ def _rare_pairs(open_texts: DataFrame, written_sets: DataFrame, similarity: floa
     similarity share one of the first ``n - ceil(similarity * n) + 1`` of either;
     the smaller set even has it in its first ``n - ceil(least * n) + 1`` with
     ``least = 2 * similarity / (1 + similarity)``, and the places leave room for
-    all they must share.  The order here is by how often the shingles of its
-    bucket occur.  Texts that share a common passage and little else, or not
-    quite enough, do not meet, however many there are.
+    all they must share.  The order is that of ``_rare_shingles``.  Texts that
+    share a common passage and little else, or not quite enough, do not meet,
+    however many there are.
     """
-    counts = np.zeros(RARITY, np.int64)
-    by_task = written_sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long")
-    for row in by_task.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most RARITY rows
-        counts[row["bucket"]] = row["n"]
-    rare = written_sets.select("words", "shingles").mapInArrow(
-        _rarest(counts, similarity), "words binary, n long, rare array<long>"
-    )
-    keyed = open_texts.select("words", "label").join(rare.dropDuplicates(["words"]), "words")
-    keyed = materialize(keyed.select("words", "label", "n", F.posexplode("rare").alias("at", "rare")), "rare-shingles")
-    # a shingle of one text, or of one component, makes no pair
-    several = keyed.groupBy("rare").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    keyed = keyed.join(several.select("rare"), "rare", "left_semi")
+    keyed = materialize(_rare_shingles(open_texts, written_sets, similarity), "rare-shingles")
     least = 2 * similarity / (1 + similarity)
     head = F.col("at") < F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
 
@@ -336,9 +340,24 @@ def near_groups(
     members = materialize(
         texts.select("words", "size", F.explode("bands").alias("bucket")), "bucket-members"
     )
-    buckets = members.groupBy("bucket").agg(F.min("words").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(members.join(buckets.select("bucket", "a"), "bucket"), "shared-buckets")
-    stars = materialize(shared.filter("a != words").select("a", F.col("words").alias("b")).distinct(), "star-pairs")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(members.select("bucket", "words").join(buckets, "bucket"), "shared-buckets")
+    # the member that meets most others over all its buckets is the pivot: of copies
+    # of one text that text, or what is nearest to it, rather than any of the copies
+    met = shared.groupBy("words").agg(F.sum("n").alias("met"))
+    pivots = (
+        shared.join(met, "words")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("met", "words")).alias("most"))
+        .select("bucket", F.col("most.words").alias("pivot"))
+    )
+    stars = materialize(
+        shared.join(pivots, "bucket")
+        .filter("pivot != words")
+        .select(F.least("pivot", "words").alias("a"), F.greatest("pivot", "words").alias("b"))
+        .distinct(),
+        "star-pairs",
+    )
     wanted = shared.select("words").distinct()
     # the shingles of every text in a shared bucket, once for each different text
     first = texts.join(wanted, "words", "left_semi").select("first_row")

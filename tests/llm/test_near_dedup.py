@@ -102,3 +102,41 @@ def test_agreement_is_the_weighted_similarity(counted):
     least = np.minimum(x[50:], y[:150]).sum()
     true = least / (x.sum() + y.sum() - least)
     assert abs((a == b).mean() - true) < 0.04
+
+
+def test_rarity_is_counted_by_shingle(spark):
+    """Every text has shingles of its own, all in one bucket, and 40 that all texts have, each in its own."""
+    common = list(range(1, 41))
+    sets, copies = [], set()
+    for i in range(60):
+        own = [(1 + i * 100 + j) << 16 for j in range(40)]
+        sets.append((f"{i}a".encode(), common + own))
+        sets.append((f"{i}b".encode(), common + own[1:] + [(90_000 + i) << 16]))
+        copies.add((f"{i}a".encode(), f"{i}b".encode()))
+    open_texts = spark.createDataFrame([(w, w) for w, _ in sets], "words binary, label binary")
+    met = near_dedup._rare_pairs(open_texts, spark.createDataFrame(sets, "words binary, shingles array<long>"), 0.8)
+    assert {(bytes(r.a), bytes(r.b)) for r in met.collect()} == copies
+
+
+def test_copies_of_one_text_meet_it_and_not_each_other(spark, monkeypatch):
+    """Copies are near the text and not near one another."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 200):
+        copy = list(base)
+        for at in rng.sample(range(150), 3):
+            copy[at] = f"own{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    rare_pairs, met = near_dedup._rare_pairs, []
+
+    def counted(*args):
+        pairs = rare_pairs(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_rare_pairs", counted)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes, _ = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in got} == {i: c for (i, _), c in zip(rows, classes, strict=True)}
+    assert sum(met) <= len(rows)
