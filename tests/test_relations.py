@@ -160,3 +160,17 @@ def test_out_neighbors_of_a_hub(spark):
     rows_in = spark.createDataFrame(index, "p string, s_id bigint, o_id bigint")
     for n in (1, 2, 3):
         assert rows(relations.top_out_neighbors(rows_in, stats, n)) == plain_out_neighbors(index, standing, n)
+
+
+def test_hot_predicates_and_objects_are_not_sorted(kb):
+    """A predicate or an object that most triples have does not gather its triples in one task."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Sort [o#" not in plan(kb["r1"])
+    index = relations.relation_index(kb["r1"])
+    assert "hashpartitioning(p#" not in plan(index)
+    stats = relations.relation_stats(index)
+    assert "hashpartitioning(p#" not in plan(relations.top_out_neighbors(index, stats, 2))
+    assert rows(index.select("p").distinct()) == rows(stats.select("p"))
