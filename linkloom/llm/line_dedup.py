@@ -12,7 +12,11 @@ different sets are joined with themselves:
   shared one must suffice for the overlap;
 * bitmap filter: sets that differ in d words differ in at most d of 64 parity
   bits, so pairs whose bits differ more than the overlap allows cannot match;
-* the pairs left are verified on all their words.
+* the pairs left are compared on 256 such bits, which few but the matches pass,
+  and then verified on all their words.
+
+Only the rarest words of a line are kept.  The words of the lines that have
+candidates are taken from their texts again, found by a hash of the text.
 
 A line is removed when a line that matches it stands earlier (smaller doc_id,
 then place), whether that one is itself removed or not.  Exact repeats never
@@ -29,25 +33,37 @@ other columns are not read by ``line_matches`` and carried along by
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from linkloom.llm.shared import SPACE, free_name
+from linkloom.llm.shared import free_name
 from linkloom.runtime import materialize
 
 SIMILARITY = 0.8
 #: Bits of the number of a word's bucket.
 BITS = 16
 BUCKETS = 1 << BITS
+#: White space that parts words, but for the space itself and the end of a line.
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, f"{SPACE}+", -1), "")
+def _plain(text: Column) -> Column:
+    """The text with spaces for the other characters that part words, line ends apart."""
+    # most texts have none of them, and looking for one is cheaper than the expression
+    some = reduce(Column.__or__, (F.contains(text, F.lit(space)) for space in "\t\v\f\r"))
+    return F.when(some, F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
+
+
+def _words(plain: Column) -> Column:
+    """The words, with empty ones where spaces meet; by one character, for which Java takes no expression."""
+    return F.split(plain, " ", -1)
 
 
 def _bucket(word: Column) -> Column:
@@ -57,7 +73,7 @@ def _bucket(word: Column) -> Column:
 def word_order(texts: DataFrame, text: str = "text") -> Column:
     """The place of each word bucket by rarity, as one constant array of BUCKETS numbers."""
     counts = (
-        texts.select(F.explode(_words(F.col(text))).alias("word"))
+        texts.select(F.explode(_words(F.replace(_plain(F.col(text)), F.lit("\n"), F.lit(" ")))).alias("word"))
         .groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
         .count()
         .collect()  # at most BUCKETS rows
@@ -69,63 +85,91 @@ def word_order(texts: DataFrame, text: str = "text") -> Column:
     return F.split(F.lit(",".join(map(str, place))), ",").cast("array<long>")
 
 
-def _has_words(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(SPACE.replace("[", "[^", 1)))
-
-
-def hashes_of(line: Column) -> Column:
-    """64-bit hashes of the different words of a line, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))))
+def hashes_of(plain: Column) -> Column:
+    """64-bit hashes of the different words of a line, in the order of the line."""
+    return F.array_remove(F.array_distinct(F.transform(_words(plain), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def by_rarity(hashes: Column, order: Column) -> Column:
     """The hashes with the bucket number changed for the bucket's place, the rarest first."""
-    return F.sort_array(
-        F.transform(
-            hashes,
-            lambda w: F.shiftleft(order[_bucket(w).cast("int")], 64 - BITS).bitwiseOR(F.shiftrightunsigned(w, BITS)),
-        )
-    )
+
+    def ranked(word: Column) -> Column:
+        # never null, which Spark cannot know and would sort objects for
+        place = F.coalesce(order[_bucket(word).cast("int")], F.lit(0).cast("long"))
+        return F.shiftleft(place, 64 - BITS).bitwiseOR(F.shiftrightunsigned(word, BITS))
+
+    return F.sort_array(F.transform(hashes, ranked))
+
+
+def _parity(words: str, part: int | None = None) -> Column:
+    """64 bits, each the parity of the number of words that fall on it; only of the words of that quarter, if named."""
+    ours = "true" if part is None else f"(shiftrightunsigned(w, 6) & 3) = {part}"
+    return F.expr(f"aggregate({words}, 0L, (bits, w) -> IF({ours}, bits ^ shiftleft(1L, cast(w & 63 as int)), bits))")
+
+
+def _differ(bits: str) -> Column:
+    """How many of these parity bits differ: at most as many as there are words that only one set has."""
+    return F.bit_count(F.col(f"{bits}_a").bitwiseXOR(F.col(f"{bits}_b")))
 
 
-def _parity(words: str) -> Column:
-    """64 bits, each the parity of the number of words that fall on it."""
-    return F.expr(f"aggregate({words}, 0L, (bits, w) -> bits ^ shiftleft(1L, cast(w & 63 as int)))")
+def _key(value: Column) -> Column:
+    """128 bits that tell values apart: two hashes of them."""
+    return F.concat(*(F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(i), value)), 16, "0")) for i in range(2)))
 
 
-def _key(words: Column) -> Column:
-    """128 bits that tell sets of words apart: two hashes of the ascending hashes."""
-    return F.concat(*(F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(i), words)), 16, "0")) for i in range(2)))
+def _needed(similarity: float) -> Column:
+    """The words that sets of n_a and n_b words must share."""
+    return F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
 
 
-def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of ids of ``sets`` (id, words as of ``by_rarity``) with at least that Jaccard similarity."""
-    part = similarity / (1 + similarity)
+def head_of(similarity: float) -> Column:
+    """32 bits of each of the rarest ``words`` of a set, as many as the prefix filter needs.
+
+    Words that agree in these bits make candidates that the later filters drop.
+    """
     size = F.size("words")
     prefix = size - F.ceil(similarity * size - 1e-9).cast("int") + 1
-    heads = sets.select(
-        "id", size.alias("n"), _parity("words").alias("bits"), F.posexplode(F.slice("words", F.lit(1), prefix)).alias("at", "word")
+    low = F.lit((1 << 32) - 1)
+    # a negative int is 2^32 less, so that no cast overflows
+    return F.transform(
+        F.slice("words", F.lit(1), prefix), lambda w: (w.bitwiseAND(low) - F.lit(1 << 31)).cast("int")
     )
+
+
+def candidate_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of ids of ``sets`` (id, n, bits, head) that pass the filters; every pair that matches is one."""
+    heads = sets.select("id", "n", "bits", F.posexplode("head").alias("at", "word"))
     one = heads.select("word", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits")))
     two = heads.select("word", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits")))
-    needed = F.ceil(part * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    differ = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    needed = _needed(similarity)
     longer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
-    candidates = (
+    return (
         one.join(two, "word")
         .filter(
             longer
             & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
-            & (F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
-            & (differ <= F.col("n_a") + F.col("n_b") - 2 * needed)
+            # as if it were the first word that they share; of a pair that matches, the first one passes
+            & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
+            & (_differ("bits") <= F.col("n_a") + F.col("n_b") - 2 * needed)
         )
         .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .distinct()
     )
-    candidates = materialize(candidates, "line-candidates")
-    # most sets have no candidate: only the others move to be verified
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    met = materialize(sets.join(wanted, "id", "left_semi").select("id", "words"), "met-sets")
+
+
+def similar_sets(candidates: DataFrame, met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ``candidates`` with at least that Jaccard similarity.
+
+    ``met`` (id, n, words, 256 parity bits) has the sets of all candidates; the
+    bits are compared before words move.
+    """
+    bits = [c for c in met.columns if c.startswith("bits")]
+    for end in "ab":
+        marks = met.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", *bits)))
+        candidates = candidates.join(marks, end)
+    differ = reduce(Column.__add__, map(_differ, bits))
+    candidates = candidates.filter(differ <= F.col("n_a") + F.col("n_b") - 2 * _needed(similarity)).select("a", "b")
+    candidates = materialize(candidates, "line-candidates-left")
     common = F.size(F.array_intersect("words_a", "words_b"))
     return (
         candidates.join(met.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
@@ -138,6 +182,19 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
+def _met_words(candidates: DataFrame, sets: DataFrame, given: DataFrame) -> DataFrame:
+    """(id, n, words, bits) of the candidates, from one text each that has the line: no words are kept for all lines."""
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    places = sets.select("id", "mark", "first.line").join(wanted, "id", "left_semi")
+    of_text = places.groupBy("mark").agg(F.collect_list(F.struct("line", "id")).alias("places"))
+    texts = given.select(_key(F.col("text")).alias("mark"), "text").dropDuplicates(["mark"])
+    # the text is split by a generator, once and not again for each of its places
+    split = texts.join(of_text, "mark").select(F.explode(F.array(_lines(_plain(F.col("text"))))).alias("lines"), "places")
+    asked = F.transform("places", lambda p: F.struct(p["id"].alias("id"), F.col("lines")[p["line"]].alias("plain")))
+    words = split.select(F.explode(asked).alias("asked")).select("asked.id", hashes_of(F.col("asked.plain")).alias("words"))
+    return words.select("id", F.size("words").alias("n"), "words", *(_parity("words", i).alias(f"bits{i}") for i in range(4)))
+
+
 def line_matches(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -154,25 +211,37 @@ def line_matches(
     )
     order = word_order(given)
     split = given.select(
-        "row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "content")
-    ).withColumn("hashes", hashes_of(F.col("content")))
+        "row", "doc_id", _key(F.col("text")).alias("mark"), F.posexplode(_lines(_plain(F.col("text")))).alias("line", "plain")
+    ).withColumn("words", by_rarity(hashes_of(F.col("plain")), order))
     lines = materialize(
-        split.select("row", "doc_id", "line", F.when(_has_words(F.col("content")), _key(F.col("hashes"))).alias("key")), "lines"
+        split.select(
+            "row",
+            "doc_id",
+            "line",
+            "mark",
+            F.size("words").alias("n"),
+            F.when(F.size("words") > 0, _key(F.col("words"))).alias("key"),
+            _parity("words").alias("bits"),
+            head_of(similarity).alias("head"),
+        ),
+        "lines",
     )
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "line")
-    first = lines.filter("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("first"))
-    first = materialize(first, "first-lines")
+    # Spark drops the later rows of a key before they move, too
+    first = F.row_number().over(Window.partitionBy("key").orderBy(place))
     sets = materialize(
-        split.filter(_has_words(F.col("content")))
-        .select("hashes", _key(F.col("hashes")).alias("key"))
-        .dropDuplicates(["key"])
-        .select(F.monotonically_increasing_id().alias("id"), "key", by_rarity(F.col("hashes"), order).alias("words")),
+        lines.filter("key IS NOT NULL")
+        .withColumn("nth", first)
+        .filter("nth = 1")
+        .select(F.monotonically_increasing_id().alias("id"), "key", place.alias("first"), "mark", "n", "bits", "head"),
         "line-sets",
     )
-    pairs = materialize(similar_sets(sets.select("id", "words"), similarity), "line-links")
+    candidates = materialize(candidate_sets(sets, similarity), "line-candidates")
+    met = materialize(_met_words(candidates, sets, given), "met-sets")
+    pairs = materialize(similar_sets(candidates, met, similarity), "line-links")
     both = pairs.union(pairs.select("b", "a"))
-    keys = sets.select("id", "key").join(both.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    of_set = materialize(keys.join(first, "key").select("id", "key", "first"), "linked-lines")
+    linked_ids = both.select(F.col("a").alias("id")).distinct()
+    of_set = materialize(sets.select("id", "key", "first").join(linked_ids, "id", "left_semi"), "linked-lines")
     linked = (
         both.join(of_set.select(F.col("id").alias("b"), "first"), "b")
         .groupBy(F.col("a").alias("id"))
@@ -180,8 +249,8 @@ def line_matches(
         .join(of_set.select("id", "key"), "id")
         .drop("id")
     )
-    earliest = materialize(first.join(linked, "key", "left"), "earliest-lines")
-    joined = lines.join(earliest, "key", "left")
+    earliest = materialize(sets.select("key", "first").join(linked, "key", "left"), "earliest-lines")
+    joined = lines.select("row", "doc_id", "line", "key").join(earliest, "key", "left")
     earlier = (place > F.col("first")) | F.coalesce(F.col("other") < place, F.lit(False))
     return joined.select(
         "row",

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from linkloom.llm import line_dedup
 
 
@@ -55,3 +58,40 @@ def test_texts_lose_their_lines(spark):
         want.append((i, "\n".join(left) if gone else t))
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
     assert line_dedup.document_lines(docs.limit(0)).count() == 0
+
+
+def test_words_are_kept_for_candidates_alone(spark, monkeypatch):
+    kept = {}
+
+    def seen(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    write = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    near = ["the last word of this long line is a", "the last word of this long line is b"]
+    rows = [(i, "\n".join(" ".join(f"w{i}x{j}y{k}" for k in range(30)) for j in range(4))) for i in range(20)]
+    rows += [(90 + i, line) for i, line in enumerate(near)]
+    got = line_dedup.document_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == dict(zip([i for i, _ in rows], brute(rows), strict=True))
+    arrays = [df.select(F.sum(F.size("words"))).first()[0] for df in kept.values() if "words" in df.columns]
+    assert sum(arrays) <= 2 * len(" ".join(near).split())
+
+
+def test_every_white_space_and_copied_texts(spark):
+    line = "one two three four five"
+    rows = [(1, "one\ttwo\vthree\ffour\rfive"), (2, f"  one  two\tthree four  five \n \t\n{line} six"), (3, "\u00a0one\u00a0two")]
+    rows += [(i, f"{line} six seven\n{line}") for i in range(4, 8)] + [(8, "one two three four five six seven eight nine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.document_lines(docs).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == dict(zip([i for i, _ in rows], brute(rows), strict=True))
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.95, 1.0])
+def test_links_of_any_similarity(spark, similarity):
+    rows = made_rows(7)
+    got = line_dedup.document_lines(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
+    sets = {frozenset(line.split()) for _, t in rows for line in (t or "").split("\n")} - {frozenset()}
+    links = {s: sum(len(s & o) >= similarity * len(s | o) - 1e-9 for o in sets) - 1 for s in sets}
+    want = {i: sum(links.get(frozenset(line.split()), 0) for line in (t or "").split("\n")) for i, t in rows}
+    assert {r.doc_id: r.n_links for r in got.collect()} == want
