@@ -1,5 +1,6 @@
 import random
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
 
@@ -9,6 +10,7 @@ from linkloom.plans import paths
 from linkloom.runtime import materialize, run_scope
 from linkloom.sources import readers
 from tests.conftest import pairs, rows
+from workloads import queries
 
 
 @pytest.fixture(scope="module")
@@ -122,6 +124,21 @@ def test_expanded_block_pairs(spark, monkeypatch, cell):
     assert rows(expansion.block_pairs(sized, lambda e: e % 3 == 0)) == sorted(want)
 
 
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_candidate_pairs_lists_every_candidate(spark, monkeypatch, cell):
+    """The query gives the pairs of the expansion, not their counts."""
+    monkeypatch.setattr("linkloom.operators.shared_top_k.CELL", cell)
+    blocks = {"a": (range(7), range(-5, 0)), "b": ([3, 6], [-3]), "c": ([1], [-1, -2])}
+    data = [(b, e, len(o), len(t)) for b, (o, t) in blocks.items() for e in (*o, *t)]
+    sized = spark.createDataFrame(data, "block_id string, entity_id bigint, n1 bigint, n2 bigint")
+    want = []
+    for b, (one, two) in blocks.items():
+        for mine, other in ((one, two), (two, one)):
+            want += [(e, c, b, len(mine), len(other)) for e in mine for c in other]
+    monkeypatch.setattr(queries.views, "document_resolver", lambda *_: SimpleNamespace(sized_blocks=sized))
+    assert rows(queries.candidate_pairs(spark, "")) == sorted(want)
+
+
 @pytest.mark.parametrize("cell", [2, 4096])
 def test_expanded_neighbor_pairs(spark, monkeypatch, cell):
     monkeypatch.setattr("linkloom.operators.shared_top_k.CELL", cell)
