@@ -49,6 +49,33 @@ def test_tiles(spark, no_pairs, monkeypatch, scheme, columns):
     check_lists(spark, random_blocks(9), scheme, 3)
 
 
+@pytest.mark.parametrize("with_norms", [False, True])
+@pytest.mark.parametrize("columns", [2, 100])
+def test_tiles_of_heavy_entities(spark, no_pairs, monkeypatch, with_norms, columns):
+    """Sums beyond the whole numbers that doubles hold are added up in tiles as well, and exactly."""
+    monkeypatch.setattr(tiles, "COLUMNS", columns)
+    rng = random.Random(5)
+    weights = [8 * 10**15 + rng.randrange(10**6) for _ in range(40)]
+    entities = [*range(1, 9), *range(-8, 0)]
+    held = {e: rng.sample(range(40), 25) for e in entities}
+    held[2], held[-2] = held[1], held[-1]  # equal scores
+    posts = [(e, b, weights[b], 8, 8) for e in entities for b in held[e]]
+    df = spark.createDataFrame(posts, "entity_id bigint, link bigint, weight bigint, n1 bigint, n2 bigint")
+    norm = {e: sum(weights[b] for b in held[e]) for e in entities}
+    norms = spark.createDataFrame(list(norm.items()), "entity_id bigint, norm bigint") if with_norms else None
+    want = set()
+    for e in entities:
+        lists = []
+        for c in entities:
+            if (e > 0) != (c > 0):
+                total = sum(weights[b] for b in set(held[e]) & set(held[c]))
+                score = float(total) / float(norm[e] + norm[c]) if with_norms else float((total + 500) // 1000 * 1000) / 1e12
+                lists.append((-score, c))
+        want |= {(e, c, -s, n) for n, (s, c) in enumerate(sorted(lists)[:3], 1)}
+    got = top_partners(df, 3, norms=norms).collect()
+    assert {(r.entity_id, r.cand_id, r.score, r["rank"]) for r in got} == want
+
+
 @pytest.mark.parametrize("scheme,effort", [("arcs", 0), ("wjs", 0), ("idf", 1000)])
 def test_pairs_of_sparse_tables(spark, monkeypatch, scheme, effort):
     monkeypatch.setattr(shared_top_k, "FEW", 0)
