@@ -168,3 +168,19 @@ def test_repeated_members_count_as_before(spark, monkeypatch, in_tiles):
     df = spark.createDataFrame(members, "block_id bigint, entity_id bigint")
     got = evaluation.evaluate_blocks(df, pair_frame(spark, [(-1, 0)])).first()
     assert got.tp + got.fp == sum(times[a % 3] + times[c % 3] - 1 for a, c in met)
+
+
+def test_symmetric_candidates_read_the_lists_once(spark):
+    """Lists that are not written out are made once, not once for each side."""
+    made = spark.sparkContext.accumulator(0)
+
+    def lists(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    data = [(1, -2), (-2, 1), (3, -4), (-6, 5), (1, -6)]
+    candidates = spark.createDataFrame(data, "entity_id bigint, cand_id bigint").mapInArrow(lists, "entity_id long, cand_id long")
+    got = evaluation.symmetric_candidates(candidates).collect()
+    assert sorted(map(tuple, got)) == [(-6, 1), (-6, 5), (-4, 3), (-2, 1)]
+    assert made.value == len(data)
